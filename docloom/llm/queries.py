@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import language_id, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": language_id.query,
+    "op6_substring_dedup": substring_dedup.query,
     "op8_near_dedup": near_dedup.query,
 }
 
