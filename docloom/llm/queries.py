@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, substring_dedup
+from . import language_id, near_dedup, packing, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.query,
     "op3_language_id": language_id.query,
     "op6_substring_dedup": substring_dedup.query,
     "op8_near_dedup": near_dedup.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_packing": packing.SQL,
+}
