@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, near_dedup, packing, substring_dedup
+from . import bpe, language_id, lm_scoring, near_dedup, packing, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op3_language_id": language_id.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op7_byte_bpe": bpe.query,
     "op8_near_dedup": near_dedup.query,
+    "op10_lm_scoring": lm_scoring.query,
 }
 
 ORACLES: dict[str, str] = {
