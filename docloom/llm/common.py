@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def map_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """mapInArrow. Workers look for this package where the driver found it, besides what they were started or shipped with."""
+    environment = df.sparkSession.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    return df.mapInArrow(fn, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +72,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict | pa.R
             for out in fn(batch):
                 yield out if isinstance(out, pa.RecordBatch) else as_batch(out, arrow_schema)
 
-    return df.mapInArrow(run, spark_schema)
+    return map_batches(df, run, spark_schema)
 
 
 def as_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:

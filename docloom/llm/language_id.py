@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_and_text, lists
+from .common import arrow_map, id_and_text, lists, map_batches
 from .textkernel import runs, utf8
 
 WINDOW = 64
@@ -323,7 +323,7 @@ def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 *_, ok = judge(net, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield batch.slice(i, j - i).filter(pa.array(ok))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

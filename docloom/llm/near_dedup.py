@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_batch, dropped, id_and_text, key_groups, stored
+from .common import arrow_map, as_batch, dropped, id_and_text, key_groups, map_batches, stored
 from .textkernel import Words, runs, shingles, utf8
 
 COORDINATES = 64
@@ -112,7 +112,7 @@ def signature_pairs(reps: DataFrame, n: int = COORDINATES, threshold: int = THRE
         .withColumn("mask", F.expr("aggregate(keys, 0L, (m, k) -> m | shiftleft(1L, cast(shiftright(k, 32) as int)))"))
     )
     rows = prefix.join(reps.select("id", "sig"), "id").select(F.explode("keys").alias("key"), "id", "sig", "mask")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs_in(n, threshold), "a long, b long, matches int")
+    return map_batches(rows.repartition("key").sortWithinPartitions("key"), _pairs_in(n, threshold), "a long, b long, matches int")
 
 
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = COORDINATES, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, lm_scoring, near_dedup, packing, substring_dedup
+from . import bpe, chat, language_id, lm_scoring, near_dedup, packing, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
+    "op2_chat_format": chat.query,
     "op3_language_id": language_id.query,
+    "op5_url_filter": url_filter.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_byte_bpe": bpe.query,
     "op8_near_dedup": near_dedup.query,
@@ -19,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_packing": packing.SQL,
+    "op5_url_filter": url_filter.SQL,
 }

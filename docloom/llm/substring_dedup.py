@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_batch, id_and_text, stored
+from .common import arrow_map, as_batch, id_and_text, map_batches, stored
 from .textkernel import SPACE, Words, prefix, runs, spans, utf8
 
 PHRASE = 32
@@ -220,7 +220,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ph
                         out[k].append(v)
             yield as_batch(out, schema)
 
-    return work.mapInArrow(locate, "doc_id long, first_doc long, start int, end int, n_words int").distinct()
+    return map_batches(work, locate, "doc_id long, first_doc long, start int, end int, n_words int").distinct()
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -250,7 +250,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_c
                     columns[chars_col] = pc.if_else(pa.array(hit), new, columns[chars_col])
             yield pa.RecordBatch.from_arrays([columns[k] for k in fields.names], names=fields.names).filter(pa.array(keep))
 
-    return both.mapInArrow(run, fields)
+    return map_batches(both, run, fields)
 
 
 def without(text: str, spans_: list[tuple[int, int]]) -> str:
