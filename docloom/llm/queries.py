@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language_id, lm_scoring, near_dedup, packing, substring_dedup, url_filter
+from . import bpe, chat, language_id, lm_scoring, near_dedup, packing, spotsigs, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
     "op2_chat_format": chat.query,
     "op3_language_id": language_id.query,
+    "op4_spotsigs": spotsigs.query,
     "op5_url_filter": url_filter.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_byte_bpe": bpe.query,
