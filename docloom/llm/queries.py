@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language_id, lm_scoring, near_dedup, packing, spotsigs, substring_dedup, url_filter
+from . import ann, bpe, chat, language_id, lm_scoring, near_dedup, packing, spotsigs, substring_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.query,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": substring_dedup.query,
     "op7_byte_bpe": bpe.query,
     "op8_near_dedup": near_dedup.query,
+    "op9_ann": ann.query,
     "op10_lm_scoring": lm_scoring.query,
 }
 
