@@ -7,6 +7,7 @@ Two documents are near duplicates when at least ``THRESHOLD`` coordinates agree.
 * a pair with t agreeing coordinates shares t keys that occur at least twice. With a document's m such keys in the order
   of rising frequency, one shared key must be among its first m-t+1 (prefix filter). Only these are posted, and a document
   with m < t is skipped altogether;
+* posting lists with the same members are compared once, under their least key;
 * within a posting list the agreeing coordinates are counted at once over all partners; a pair that an earlier shared
   prefix key has already counted is skipped.
 
@@ -24,8 +25,8 @@ from .common import arrow_map, as_batch, dropped, id_and_text, key_groups, map_b
 from .textkernel import Words, runs, shingles, utf8
 
 COORDINATES = 64
-THRESHOLD = 32
-SHINGLE = 2
+THRESHOLD = 28
+SHINGLE = 3
 SEED = 20240601
 
 
@@ -75,8 +76,8 @@ def _pairs_in(n: int, threshold: int):
                     continue
                 coordinate = int(keys[a] >> 32)
                 block = max(1, (1 << 22) // (m * n))
-                for x in range(a, b - 1, block):
-                    y = min(x + block, b - 1)
+                for x in range(a, b, block):
+                    y = min(x + block, b)
                     same = sig[x:y, None, :] == sig[None, a:b, :]
                     count = same.sum(2, dtype=np.int32)
                     i, j = np.nonzero((count >= threshold) & (ids[x:y, None] < ids[None, a:b]))
@@ -104,14 +105,17 @@ def signature_pairs(reps: DataFrame, n: int = COORDINATES, threshold: int = THRE
 
     postings = arrow_map(reps.select("id", "sig"), explode, "key long, id long")
     seen = postings.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
-    prefix = (
+    prefix = stored(
         seen.groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks"))
         .where(F.size("ks") >= threshold)
         .select("id", F.expr(f"transform(slice(ks, 1, size(ks) - {threshold - 1}), x -> x.key)").alias("keys"))
-        .withColumn("mask", F.expr("aggregate(keys, 0L, (m, k) -> m | shiftleft(1L, cast(shiftright(k, 32) as int)))"))
+        .withColumn("mask", F.expr("aggregate(keys, 0L, (m, k) -> m | shiftleft(1L, cast(shiftright(k, 32) as int)))")),
+        "prefixes",
     )
-    rows = prefix.join(reps.select("id", "sig"), "id").select(F.explode("keys").alias("key"), "id", "sig", "mask")
+    posted = prefix.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
+    once = posted.groupBy("ids").agg(F.min("key").alias("key")).select("key", F.explode("ids").alias("id"))
+    rows = once.join(prefix.select("id", "mask").join(reps.select("id", "sig"), "id"), "id").select("key", "id", "sig", "mask")
     return map_batches(rows.repartition("key").sortWithinPartitions("key"), _pairs_in(n, threshold), "a long, b long, matches int")
 
 
