@@ -22,8 +22,8 @@ from .common import arrow_map
 from .textkernel import SPACE, prefix, runs, spans, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
-KNOWN_CHUNKS = 1 << 20
-BATCH_BYTES = 1 << 22
+KNOWN_CHUNKS = 1 << 19
+BATCH_BYTES = 1 << 20
 
 CLOSED = np.zeros(256, bool)
 CLOSED[33:127] = True
