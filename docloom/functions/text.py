@@ -9,9 +9,9 @@ LLM_PRICES = {"grok-4-fast": (2, 5), "grok-4-fast-reasoning": (2, 5), "mini": (2
 OCR_PRICES = {"ocr-latest": 2000}
 ARCHIVES = ["zip", "rar", "7z"]
 NATIVE = ["docx", "pdf", "xlsx"]
-CONVERTED = ["doc", "xls", "odt", "ods", "rtf", "ppt", "odp", "pptx"]
-UNPARSED = ["txt", "csv", "xml", "html", "htm", "png", "jpg", "jpeg", "tiff", "bmp"]
-MIME = {"image/png": ".png", "image/jpeg": ".jpg", "image/gif": ".gif", "image/bmp": ".bmp", "image/tiff": ".tiff", "image/x-emf": ".emf", "image/x-wmf": ".wmf"}
+CONVERTED = "doc ods odp odt ppt pptx rtf xls".split()
+UNPARSED = "csv htm html jpeg jpg png tif tiff txt xml".split()
+MIME = {f"image/{kind}": f".{ending}" for kind, ending in [x.split(":") for x in "gif:gif bmp:bmp tiff:tiff png:png jpeg:jpg x-wmf:wmf x-emf:emf".split()]}
 CHARS_PER_TOKEN = 2.7
 CONTEXT_TOKENS, OUTPUT_TOKENS, RESERVED_TOKENS = 131072, 8192, 2500
 
@@ -23,7 +23,7 @@ def strip(t: Column) -> Column:
 
 def section_number(t: Column) -> Column:
     """Dotted number at the start, if a dot, blank or bracket follows it; else null. Backtracks: ``1.10`` gives ``1``."""
-    found = F.regexp_extract(strip(t), r"(?U)^(\d+(?:\.\d+)*)[.\s)]", 1)
+    found = F.regexp_extract(strip(t), r"(?U)^(\p{Nd}+(?:[.]\p{Nd}+)*)[\s.)]", 1)
     return F.nullif(found, F.lit(""))
 
 
@@ -68,11 +68,11 @@ def ocr_cost(model: Column, pages: Column) -> Column:
 
 def tokens(t: Column) -> Column:
     """Lower-case runs of Cyrillic and plain Latin letters and digits."""
-    return F.transform(F.regexp_extract_all(t, F.lit("([а-яА-ЯёЁa-zA-Z0-9]+)"), F.lit(1)), lambda x: F.lower(x))
+    return F.transform(F.regexp_extract_all(t, F.lit("([0-9A-Za-zЁёА-Яа-я]+)"), F.lit(1)), lambda x: F.lower(x))
 
 
 def safe_name(t: Column, default: str = "uploaded_document") -> Column:
-    kept = F.regexp_replace(F.regexp_replace(t, "[^A-Za-z0-9А-Яа-я._-]+", "_"), "^[._]+|[._]+$", "")
+    kept = F.regexp_replace(F.regexp_replace(t, "[^._0-9a-zа-яA-ZА-Я-]+", "_"), "^[._]+|[._]+$", "")
     return F.coalesce(F.nullif(kept, F.lit("")), F.lit(default))
 
 

@@ -33,7 +33,7 @@ def stamp(c: str):
 
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
-# --- operational analytics -------------------------------------------------------------------------------------------
+# operational analytics
 
 
 @query(f"""WITH {A.API_USAGE} SELECT tender_id, count(*) AS total_calls, CAST(sum(total_tokens) AS BIGINT) AS total_tokens, sum(cents) / 100.0 AS total_cost, CAST(sum(duration_ms) AS BIGINT) AS total_duration_ms,
@@ -101,7 +101,7 @@ def job_state(spark, sf_dir):
     return jobs.select("tender_id", "status", F.when(F.col("status") == "failed", F.substring(text, 1, 2000)).alias("message"), "events")
 
 
-# --- documents as a collection -------------------------------------------------------------------------------------
+# documents as a collection
 
 
 @query("SELECT source, count(*) AS document_count, CAST(sum(n_chars) AS BIGINT) AS total_size FROM documents GROUP BY source")
@@ -143,7 +143,7 @@ def fk_orphans(spark, sf_dir):
     return L.without_match(o, i, ["k"]).withColumn("problem", F.lit("order without lines")).unionByName(L.without_match(i, o, ["k"]).withColumn("problem", F.lit("line without order")))
 
 
-# --- text and scalar functions ------------------------------------------------------------------------------------
+# text and scalar functions
 
 
 @query(f"WITH {A.NUMBERED_LINES} SELECT doc_id, CAST(pos AS INT) AS pos, sec AS section FROM nums WHERE sec IS NOT NULL")
@@ -156,7 +156,7 @@ def clean_text(spark, sf_dir):
     return A.load(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
 
-_TOKENS = "list_transform(regexp_extract_all({}, '([а-яА-ЯёЁa-zA-Z0-9]+)', 1), lambda x: lower(x))"
+_TOKENS = "list_transform(regexp_extract_all({}, '([0-9A-Za-zЁёА-Яа-я]+)', 1), lambda x: lower(x))"
 
 
 @query(f"SELECT conv_id, turn, {_TOKENS.format('text')} AS tokens FROM conversations")
@@ -195,7 +195,7 @@ def html_escape(spark, sf_dir):
     return A.load(spark, sf_dir, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
 
 
-@query("SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^A-Za-z0-9А-Яа-я._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'uploaded_document') AS name FROM pages")
+@query("SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[^._0-9a-zа-яA-ZА-Я-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'uploaded_document') AS name FROM pages")
 def safe_name(spark, sf_dir):
     return A.load(spark, sf_dir, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
@@ -240,7 +240,7 @@ def json_unfence(spark, sf_dir):
     return A.load(spark, sf_dir, "events").select("event_id", T.unfence(fenced).alias("body")).withColumn("k", F.from_json("body", "k int")["k"])
 
 
-# --- sections and numbering ---------------------------------------------------------------------------------------
+# sections and numbering
 
 
 def _sections(spark, sf_dir):
@@ -285,7 +285,7 @@ def next_free_ids(spark, sf_dir):
     return L.next_free(ids, 25)
 
 
-# --- packing lines, chunks, text of blocks -------------------------------------------------------------------------
+# packing lines, chunks, text of blocks
 
 _PACK_ONE = """list_transform(string_split({t}, chr(10)), lambda l: {{'done': []::VARCHAR[], 'cur': [l], 'n': length(l)::BIGINT}})"""
 
@@ -360,7 +360,7 @@ def doc_to_text(spark, sf_dir):
     return t.select("tbl", F.array_join(parts, "\n").alias("text"))
 
 
-# --- tables -------------------------------------------------------------------------------------------------------
+# tables
 
 
 @query(f"WITH {A.TABLE_ROWS} SELECT tbl, ord::INT AS ord, {_CLASS} AS row_type FROM rows_")
@@ -469,7 +469,7 @@ def sheet_blocks(spark, sf_dir):
     return r.groupBy("tbl").agg(F.count("*").alias("n_rows"), F.max(F.size("cells")).alias("col_count")).select("tbl", F.format_string("sheet_%02d", (F.col("tbl") % 97).cast("int")).alias("sheet"), "n_rows", "col_count")
 
 
-# --- retrieval ----------------------------------------------------------------------------------------------------
+# retrieval
 
 
 @query("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id LIMIT 10")
@@ -484,7 +484,7 @@ def index_config(spark, sf_dir):
     return R.index_config(A.load(spark, sf_dir, "embeddings"), "label", "embedding")
 
 
-# --- blocks out ---------------------------------------------------------------------------------------------------
+# blocks out
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (3, 17, 4)")
@@ -497,7 +497,7 @@ _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'),
 
 
 @query(f"""WITH {A.NUMBERED_LINES}, b AS (SELECT doc_id, pos, line, sec, is_heading, printf('%d_b%03d', doc_id, pos + 1) AS bid, pos // 10 + 1 AS page FROM nums)
-  SELECT doc_id, CAST(pos AS INT) AS pos, '<section class="block text-block" data-block-id="' || bid || '"><div class="block-meta">block: ' || bid || ' | page: ' || page || CASE WHEN pos % 10 = 9 THEN '-' || (page + 1) ELSE '' END ||
+  SELECT doc_id, CAST(pos AS INT) AS pos, '<section class="block ' || 'text' || '-block" data-block-id="' || bid || '"><div class="block-meta">block: ' || bid || ' | page: ' || page || CASE WHEN pos % 10 = 9 THEN '-' || (page + 1) ELSE '' END ||
     CASE WHEN sec IS NOT NULL THEN ' | section: ' || sec ELSE '' END || '</div>' || CASE WHEN is_heading THEN '<h2>' ELSE '<p>' END || {_ESC.format('line')} || CASE WHEN is_heading THEN '</h2>' ELSE '</p>' END || '</section>' AS html FROM b""")
 def render_blocks(spark, sf_dir):
     page = F.floor(F.col("pos") / 10).cast("int") + 1
@@ -550,7 +550,7 @@ def ocr_split(spark, sf_dir):
     return p.select("p_partkey", kind.alias("kind")).where("kind IS NOT NULL")
 
 
-# --- prices and URLs ----------------------------------------------------------------------------------------------
+# prices and URLs
 
 
 @query(f"""WITH {A.API_USAGE} SELECT id, CASE WHEN coalesce(total_tokens, 0) > 0 AND k % 5 <> 4 THEN floor((total_tokens * 2 + coalesce(CASE WHEN k % 3 <> 0 THEN k * 2 END, 0) * 5 + 5) / 10) / 1000000.0 END AS cost FROM api_usage""")
@@ -591,7 +591,7 @@ def redact_url(spark, sf_dir):
     return A.load(spark, sf_dir, "pages").select("page_id", T.redact(secret).alias("redacted"))
 
 
-# --- upserts and rules --------------------------------------------------------------------------------------------
+# upserts and rules
 
 _CHANGES = """cur AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 4 = 0 THEN 'old error' END AS error FROM customer WHERE c_custkey % 3 <> 0),
   chg AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) || '!' END AS name, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' END AS segment, CASE WHEN c_custkey % 11 = 0 THEN 'new error' END AS error FROM customer WHERE c_custkey % 5 < 3)"""

@@ -74,7 +74,7 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERED_LINES = """
 ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 numbered AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 1 THEN (pos // 4 + 1) || '. ' || line ELSE line END AS line, pos % 8 = 0 AS is_heading FROM ln),
-nums AS (SELECT *, nullif(regexp_extract(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^(\\d+(?:\\.\\d+)*)[.\\s)]', 1), '') AS sec FROM numbered)
+nums AS (SELECT *, nullif(regexp_extract(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^([0-9]+(?:[.][0-9]+)*)[\\s.)]', 1), '') AS sec FROM numbered)
 """
 
 

@@ -32,7 +32,7 @@ def repair_name(name: str) -> str:
         raw = name.encode("cp437")
     except UnicodeEncodeError:
         return name
-    for code in ("utf-8", "cp1251", "cp866"):
+    for code in "utf8 cp1251 cp866".split():
         try:
             text = raw.decode(code)
         except UnicodeDecodeError:
@@ -121,7 +121,7 @@ def docx_blocks(data: bytes) -> list[dict]:
         if e.tag == f"{W}p" and text(e).strip():
             style = e.find(f"{W}pPr/{W}pStyle")
             m = re.search(r"heading\s*(\d+)", styles.get(style.get(f"{W}val"), style.get(f"{W}val")), re.I) if style is not None else None
-            blocks.append({"type": "text", "content": text(e).strip(), "heading_level": min(6, max(1, int(m[1]))) if m else None, "rows": None})
+            blocks.append({"content": text(e).strip(), "type": "text", "heading_level": min(6, max(1, int(m[1]))) if m else None, "rows": None})
         elif e.tag == f"{W}tbl":
             rows = []
             for tr in e.iter(f"{W}tr"):

@@ -7,7 +7,7 @@ BLOCK = (
 PASSPORT = "doc_id string, source_filename string, doc_type string, title string, summary string, key_topics array<string>, sections array<struct<section_id:string,title:string,summary:string,key_entities:array<string>>>"
 MANIFEST = "tender_id string, status string, source_url string, total_size_bytes long, documents array<struct<doc_id:string,filename:string,archive_path:string,size_bytes:long,ext:string>>"
 #: Ordered states of a collection.
-STATUSES = ["created", "downloaded", "extracted", "parsed", "ocr_done", "passports_done", "indexed", "failed"]
-OCR_STATUSES = ["pending", "completed", "skipped", "failed"]
-ROW_TYPES = ["header", "section", "data", "subtotal"]
-JOB_STATUSES = ["queued", "running", "completed", "failed"]
+STATUSES = "created downloaded extracted parsed ocr_done passports_done indexed failed".split()
+OCR_STATUSES = "pending completed skipped failed".split()
+ROW_TYPES = "header section data subtotal".split()
+JOB_STATUSES = "queued running completed failed".split()
