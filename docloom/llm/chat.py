@@ -29,7 +29,7 @@ MARKER = re.compile(rf"^[ \t]*(?:<\|(?P<a>{_NAMES})\|>|\[(?P<b>{_NAMES})\]:?|#{{
 STYLES = ["{name}: ", "### {name}\n", "<|{name}|>\n", "[{name}] ", "**{name}:** ", "\n"]
 _WRITTEN = {"system": "System", "user": "User", "assistant": "Assistant"}
 SHAPES = 8
-FEATURES = (4, 2, SHAPES)
+FEATURES = (5, 3, SHAPES)
 STATES = 2 * len(ROLES)
 
 
@@ -50,7 +50,8 @@ def transcript(turns: list[tuple[str | None, str]], style: str) -> tuple[str, li
 
 
 def features(text: str) -> np.ndarray:
-    """(lines, 3): marker (0 none, else role + 1), blank line before, shape."""
+    """(lines, 3): marker (role + 1; 0 none in a transcript without any, 4 none in one that has some), blank line before (2 where
+    the transcript has markers), shape."""
     lines = text.split("\n")
     out = np.zeros((len(lines), 3), np.int64)
     for i, line in enumerate(lines):
@@ -59,6 +60,9 @@ def features(text: str) -> np.ndarray:
         out[i, 1] = i > 0 and not lines[i - 1].strip()
         n = len(line)
         out[i, 2] = 0 if not line.strip() else 1 + min(2, (n > 40) + (n > 160)) * 2 + line.rstrip().endswith("?")
+    if out[:, 0].any():
+        out[out[:, 0] == 0, 0] = 4
+        out[:, 1] *= 2
     return out
 
 
