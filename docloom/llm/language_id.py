@@ -4,7 +4,7 @@ The network reads UTF-8 bytes in windows of ``WINDOW``; one pass runs forwards,
 states labels every byte with a language or ``und`` (no language). A document's probabilities are the means over all its
 bytes. Training is backpropagation through time in numpy with Adam, on a bounded sample of labelled rows: at most
 ``ROWS_PER_LANGUAGE`` documents of each value of the label column (those least in a hash of the id), ``WINDOWS_PER_ROW``
-windows of each, and as many noise windows for ``und`` as an average language has.
+windows of each, and half as many noise windows for ``und`` as an average language has.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ from .common import arrow_map, id_and_text, lists, map_batches
 from .textkernel import runs, utf8
 
 WINDOW = 64
-HIDDEN = 8
+HIDDEN = 12
 PAD = 256
 ROWS_PER_LANGUAGE = 400
 WINDOWS_PER_ROW = 8
 STEPS = 400
 BATCH = 256
 UNKNOWN = "und"
-REJECT = 0.9
+REJECT = 0.8
 
 
 def gate(x: np.ndarray) -> np.ndarray:
@@ -263,9 +263,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     target = np.array([number[r.lang] for r in rows])
     each = max(64, len(rows) // max(1, len(labels)))
     pick = np.concatenate([np.resize(np.flatnonzero(target == i), each) for i in range(len(labels)) if (target == i).any()] or [np.zeros(0, int)])
-    false = noise(each, np.random.default_rng(5))
+    false = noise(each // 2, np.random.default_rng(5))
     net = Network([*labels, UNKNOWN])
-    net.fit(np.concatenate([windows[pick], false]), np.concatenate([target[pick], np.full(each, len(labels))]))
+    net.fit(np.concatenate([windows[pick], false]), np.concatenate([target[pick], np.full(len(false), len(labels))]))
     return net
 
 
