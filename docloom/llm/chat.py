@@ -1,8 +1,8 @@
 """Chat formatting: a hidden Markov model over lines recovers the roles of a raw transcript, which is then rendered in one form.
 
 States are (role, begins a turn or goes on), for the roles system, user and assistant. Of each line the model sees the
-speaker marker at its start (if any), whether a blank line stands before it, and its shape (length class, question mark). The
-features are independent given the state. Start, transition and emission probabilities are counted over all labelled
+speaker marker at its start (if any) together with whether a blank line stands before it, and its shape (length class, question
+mark). The two features are independent given the state. Start, transition and emission probabilities are counted over all labelled
 conversations (add-one smoothing), in Spark; Viterbi finds the likeliest states of all transcripts of a batch at once.
 """
 
@@ -29,7 +29,7 @@ MARKER = re.compile(rf"^[ \t]*(?:<\|(?P<a>{_NAMES})\|>|\[(?P<b>{_NAMES})\]:?|#{{
 STYLES = ["{name}: ", "### {name}\n", "<|{name}|>\n", "[{name}] ", "**{name}:** ", "\n"]
 _WRITTEN = {"system": "System", "user": "User", "assistant": "Assistant"}
 SHAPES = 8
-FEATURES = (5, 3, SHAPES)
+FEATURES = (15, SHAPES)
 STATES = 2 * len(ROLES)
 
 
@@ -50,20 +50,19 @@ def transcript(turns: list[tuple[str | None, str]], style: str) -> tuple[str, li
 
 
 def features(text: str) -> np.ndarray:
-    """(lines, 3): marker (role + 1; 0 none in a transcript without any, 4 none in one that has some), blank line before (2 where
-    the transcript has markers), shape."""
+    """(lines, 2): marker (role + 1; 0 none in a transcript without any, 4 none in one that has some) together with the line
+    before (0 not blank, 1 blank, 2 there is none), and shape."""
     lines = text.split("\n")
-    out = np.zeros((len(lines), 3), np.int64)
+    marker, before, shape = np.zeros((3, len(lines)), np.int64)
     for i, line in enumerate(lines):
         m = MARKER.match(line)
-        out[i, 0] = _ROLE_OF[m[m.lastgroup].lower()] + 1 if m else 0
-        out[i, 1] = i > 0 and not lines[i - 1].strip()
+        marker[i] = _ROLE_OF[m[m.lastgroup].lower()] + 1 if m else 0
+        before[i] = 2 if i == 0 else not lines[i - 1].strip()
         n = len(line)
-        out[i, 2] = 0 if not line.strip() else 1 + min(2, (n > 40) + (n > 160)) * 2 + line.rstrip().endswith("?")
-    if out[:, 0].any():
-        out[out[:, 0] == 0, 0] = 4
-        out[:, 1] *= 2
-    return out
+        shape[i] = 0 if not line.strip() else 1 + min(2, (n > 40) + (n > 160)) * 2 + line.rstrip().endswith("?")
+    if marker.any():
+        marker[marker == 0] = 4
+    return np.stack([marker * 3 + before, shape], 1)
 
 
 def conversations(table: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -103,7 +102,7 @@ class Model:
             return []
         size = np.array([len(o) for o in observed])
         order = np.argsort(-size, kind="stable")
-        flat = np.concatenate([observed[i] for i in order]) if size.sum() else np.zeros((0, 3), np.int64)
+        flat = np.concatenate([observed[i] for i in order]) if size.sum() else np.zeros((0, len(FEATURES)), np.int64)
         scores = sum(e[:, flat[:, k]] for k, e in enumerate(self.emit)).T
         left = size[order]
         first = np.cumsum(left) - left
@@ -183,7 +182,7 @@ def formatted(transcripts: DataFrame, model: Model, id_col: str = "conv_id", tex
         texts = [t if t and t.strip() else "" for t in batch.column("__text").to_pylist()]
         for i in range(0, len(texts), 512):
             some = texts[i : i + 512]
-            paths = model.viterbi([features(t) if t else np.zeros((0, 3), np.int64) for t in some])
+            paths = model.viterbi([features(t) if t else np.zeros((0, len(FEATURES)), np.int64) for t in some])
             found = [turns_of(t, p) if t else [] for t, p in zip(some, paths)]
             yield {"conv_id": batch.column("conv_id").slice(i, 512), "n_turns": [len(f) for f in found], "roles": [[r for r, _ in f] for f in found], "rendered": [render(f) for f in found]}
 

@@ -29,9 +29,9 @@ def test_viterbi_is_the_best_path():
             continue
 
         def score(p):
-            s = m.start[p[0]] + sum(m.emit[k][p[0], o[0, k]] for k in range(3))
+            s = m.start[p[0]] + sum(m.emit[k][p[0], o[0, k]] for k in range(len(C.FEATURES)))
             for t in range(1, len(p)):
-                s += m.move[p[t - 1], p[t]] + sum(m.emit[k][p[t], o[t, k]] for k in range(3))
+                s += m.move[p[t - 1], p[t]] + sum(m.emit[k][p[t], o[t, k]] for k in range(len(C.FEATURES)))
             return s
 
         assert score(path) == pytest.approx(max(score(p) for p in itertools.product(range(C.STATES), repeat=len(o))))
