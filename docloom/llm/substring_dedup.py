@@ -216,6 +216,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ph
                     machine.add(text, id_, before, after)
                     continue
                 for s, e, owner in machine.passages(text):
+                    if owner > id_:  # this document has the passage first, by another phrase that both selected
+                        continue
                     for k, v in zip(out, (id_, owner, s, e, len(text[s:e].split()))):
                         out[k].append(v)
             yield as_batch(out, schema)
