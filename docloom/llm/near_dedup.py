@@ -25,8 +25,8 @@ from .common import arrow_map, as_batch, dropped, id_and_text, key_groups, map_b
 from .textkernel import Words, runs, shingles, utf8
 
 COORDINATES = 64
-THRESHOLD = 28
-SHINGLE = 3
+THRESHOLD = 32
+SHINGLE = 2
 SEED = 20240601
 
 
