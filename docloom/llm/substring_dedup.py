@@ -2,9 +2,11 @@
 
 1. Fingerprint: of the hashes of all ``PHRASE``-word phrases of a document, those are selected that are least in a window of
    ``WINDOW`` neighbours (winnowing). Two documents that share a run of ``PHRASE + WINDOW - 1`` words share a selected phrase.
-2. Confirm: a phrase recurs if documents of two ids select it; its owner is the document with the least id.
+2. Confirm: a phrase recurs if documents of two ids select it. All phrases of all documents are looked up in a filter of these,
+   and those that pass in the list itself, so that whoever holds one is known, also without having selected it; its owner is
+   the one with the least id. The filter is stored in slices of bounded size, kept by a worker up to FILTER_BYTES.
 3. Compile: the recurring phrases' texts are sharded by owner into Aho-Corasick automata of bounded size (pyahocorasick).
-4. Stream: every document is read against each automaton of which it can hold a phrase, and every occurrence is located.
+4. Stream: every document is read against each automaton of which it holds a phrase, and every occurrence is located.
    Overlapping occurrences join into passages and are extended as far as the owner's text agrees (``CONTEXT`` bytes).
 
 So any run of 51 words or more that recurs is found, and nothing shorter than 32 words is. Words are split at ASCII white
@@ -14,21 +16,28 @@ space, of which all kinds count as one blank. A popular shard is copied to sever
 from __future__ import annotations
 
 
+import uuid
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_batch, id_and_text, map_batches, stored
-from .textkernel import SPACE, Words, prefix, runs, spans, utf8
+from .common import arrow_map, as_batch, id_and_text, key_groups, map_batches, shared_dir, stored
+from .textkernel import SPACE, Words, mix, prefix, runs, spans, utf8
 
 PHRASE = 32
 WINDOW = 20
 CONTEXT = 400
 PHRASES_PER_SHARD = 4000
 DOCS_PER_TASK = 4000
+SLICE_PHRASES = 1 << 19
+SLICE_BITS = 1 << 23
+FILTER_BYTES = 64 << 20
 
 BLANK = np.arange(256, dtype=np.uint8)
 BLANK[SPACE] = 32
@@ -69,20 +78,103 @@ def fingerprints(raw: np.ndarray, offsets: np.ndarray, phrase: int = PHRASE, win
     return doc[at], value[at].astype(np.int64), start[at], end[at]
 
 
+def phrases(raw: np.ndarray, offsets: np.ndarray, phrase: int = PHRASE):
+    """document, hash, first and last byte of all phrases."""
+    words = Words(raw, offsets)
+    n = len(words) - phrase + 1
+    if n < 1:
+        return (np.zeros(0, np.int64),) * 4
+    doc = words.doc()
+    at = np.flatnonzero(doc[:n] == doc[phrase - 1 :])
+    start, end = words.start[at], words.end[at + phrase - 1]
+    return doc[at], (spans(prefix(BLANK[raw]), start, end) >> np.uint64(1)).astype(np.int64), start, end
+
+
+def probes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a slice for each phrase."""
+    h = mix(fp.astype(np.uint64))
+    return (h % np.uint64(SLICE_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(SLICE_BITS)).astype(np.int64)
+
+
+class Filter:
+    """Which phrases may recur: none that does is left out, one in seventy of the others passes."""
+
+    kept: dict[str, np.ndarray] = {}
+
+    def __init__(self, path: str, slices: int):
+        self.path, self.slices = path, slices
+
+    @classmethod
+    def of(cls, confirmed: DataFrame, n: int) -> "Filter":
+        slices = max(1, -(-n // SLICE_PHRASES))
+
+        def build(batches):
+            for batch in key_groups(batches, "slice"):
+                of, fp = batch.column("slice").to_numpy(), batch.column("fp").to_numpy()
+                for i in np.unique(of):
+                    bits = np.zeros(SLICE_BITS, np.uint8)
+                    for at in probes(fp[of == i]):
+                        bits[at] = 1
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["slice", "bits"])
+
+        by = confirmed.select("fp", F.pmod("fp", F.lit(slices)).cast("int").alias("slice")).repartition("slice").sortWithinPartitions("slice")
+        path = f"{shared_dir(confirmed.sparkSession)}/docloom/filter-{uuid.uuid4().hex}"
+        map_batches(by, build, "slice int, bits binary").write.partitionBy("slice").parquet(path)
+        return cls(path, slices)
+
+    def slice(self, i: int) -> np.ndarray:
+        name = f"{self.path}/slice={i}"
+        if name not in self.kept:
+            fs, path = pyarrow.fs.FileSystem.from_uri(name)
+            found = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+            bits = [b for f in found for b in pq.ParquetFile(f, filesystem=fs).read(["bits"]).column(0).to_pylist()]
+            while self.kept and (len(self.kept) + 1) * SLICE_BITS // 8 > FILTER_BYTES:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[name] = np.frombuffer(bits[0], np.uint8) if bits else np.zeros(SLICE_BITS // 8, np.uint8)
+        return self.kept[name]
+
+    def passes(self, fp: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(fp), bool)
+        where = fp % self.slices
+        for i in range(self.slices):
+            mine = np.flatnonzero(where == i)
+            if len(mine):
+                bits = self.slice(i)
+                a, b = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in probes(fp[mine]))
+                out[mine] = (a & b).astype(bool)
+        return out
+
+
 def recurring(rows: DataFrame, phrase: int, window: int) -> DataFrame:
-    """fp, id, s, e, owner of all selected phrases that two or more ids have."""
+    """fp, id, s, e, owner of all phrases that two or more ids select, in all documents that hold them (where each first does)."""
+
+    def select(batch: pa.RecordBatch):
+        raw, offsets = utf8(batch.column("text"))
+        ids = batch.column("id").to_numpy()
+        for i, j in runs(offsets):
+            d, v, _, _ = fingerprints(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], phrase, window)
+            yield {"fp": v, "id": ids[i:j][d] if len(d) else d}
+
+    posts = arrow_map(rows, select, "fp long, id long").groupBy("fp").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    confirmed = stored(posts.where("a < b").select("fp"), "confirmed")
+    may = Filter.of(confirmed, confirmed.count())
 
-    def run(batch: pa.RecordBatch):
+    def hold(batch: pa.RecordBatch):
         raw, offsets = utf8(batch.column("text"))
         ids = batch.column("id").to_numpy()
         for i, j in runs(offsets):
-            d, v, s, e = fingerprints(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], phrase, window)
-            base = (offsets[i:j] - offsets[i])[d] if len(d) else d
-            yield {"fp": v, "id": ids[i:j][d] if len(d) else d, "s": s - base, "e": e - base}
+            d, v, s, e = phrases(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], phrase)
+            at = np.flatnonzero(may.passes(v))
+            order = np.lexsort((at, v[at], d[at]))
+            first = np.ones(len(at), bool)
+            first[1:] = (np.diff(d[at][order]) != 0) | (np.diff(v[at][order]) != 0)
+            at = np.sort(at[order[first]])
+            d, v = d[at], v[at]
+            base = (offsets[i:j] - offsets[i])[d]
+            yield {"fp": v, "id": ids[i:j][d], "s": s[at] - base, "e": e[at] - base}
 
-    posts = arrow_map(rows, run, "fp long, id long, s int, e int")
-    same = Window.partitionBy("fp")
-    return posts.withColumn("owner", F.min("id").over(same)).withColumn("last", F.max("id").over(same)).where("owner < last").drop("last")
+    held = arrow_map(rows, hold, "fp long, id long, s int, e int").join(confirmed, "fp", "left_semi")
+    return held.withColumn("owner", F.min("id").over(Window.partitionBy("fp")))
 
 
 def extension(ours: str, theirs: str, back: bool) -> int:
@@ -157,7 +249,8 @@ def merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE, window: int = WINDOW) -> DataFrame:
     """doc_id, first_doc, start, end (code points, end exclusive), n_words of every recurring passage, that of its first document (least id) too.
 
-    Null, empty and short texts (under phrase + window - 1 words) have none. Repeated rows with one id count as one document: a
+    Null, empty and short texts (under phrase words) have none; texts under phrase + window - 1 words have those that longer ones
+    confirm. Repeated rows with one id count as one document: a
     passage only in them doesn't recur, one that others have is located in each row, given once. Null ids are left out; an
     empty table gives no rows; other columns are ignored.
     """

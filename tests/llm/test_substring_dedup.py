@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from docloom.llm import substring_dedup as S
 
 from .helpers import ODD, docs, prose
@@ -92,3 +94,22 @@ def test_hot_shards_and_empty(spark, monkeypatch):
     monkeypatch.setattr(S, "PHRASES_PER_SHARD", 1)
     assert {tuple(r) for r in S.passages(docs(spark, rows)).collect()} == want and len(want) == 30
     assert S.passages(docs(spark, rows).limit(0)).count() == 0 and S.passages(docs(spark, ODD)).count() == 0
+
+
+def test_holders_that_did_not_select_a_phrase(spark, monkeypatch):
+    """Documents with one recurring phrase are found whatever they selected, however many shards there are, and own it if theirs is the least id."""
+    p = " ".join(prose(1, 90))
+    raw = np.frombuffer(p.encode(), np.uint8)
+    _, _, s, e = S.fingerprints(raw, np.array([0, len(raw)]))
+    rows = [(100, p), (101, p)]
+    for i, (a, b) in enumerate(zip(s, e)):
+        rows.append((200 + i, p[a:b]))  # too short to select anything
+        rows.append((300 + i, " ".join([*prose(500 + i, 60), p[a:b], *prose(700 + i, 60)])))
+    rows.append((7, " ".join([*prose(900, 60), p[s[0] : e[0]], *prose(901, 60)])))
+    got = {tuple(r) for r in S.passages(docs(spark, rows)).collect()}
+    assert {r[0] for r in got} == {d for d, _ in rows}
+    assert {r[1] for r in got if r[0] in (7, 200, 300)} == {7} and (100, 7) in {r[:2] for r in got}
+    monkeypatch.setattr(S, "PHRASES_PER_SHARD", 1)
+    monkeypatch.setattr(S, "SLICE_PHRASES", 3)
+    others = [(1000 + i, " ".join(prose(2000 + i // 2, 80))) for i in range(40)]
+    assert {tuple(r) for r in S.passages(docs(spark, [*rows, *others])).collect() if r.doc_id < 1000} == got
