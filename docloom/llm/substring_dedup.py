@@ -1,48 +1,44 @@
 """Passages that recur across documents, by repeated-phrase automata.
 
-1. Fingerprint: of the hashes of all ``PHRASE``-word phrases of a document, those are selected that are least in a window of
-   ``WINDOW`` neighbours (winnowing). Two documents that share a run of ``PHRASE + WINDOW - 1`` words share a selected phrase.
-2. Confirm: a phrase recurs if documents of two ids select it. All phrases of all documents are looked up in a filter of these,
-   and those that pass in the list itself, so that whoever holds one is known, also without having selected it; its owner is
-   the one with the least id. The filter is stored in slices of bounded size, kept by a worker up to FILTER_BYTES.
-3. Compile: the recurring phrases' texts are sharded by owner into Aho-Corasick automata of bounded size (pyahocorasick).
-4. Stream: every document is read against each automaton of which it holds a phrase, and every occurrence is located.
-   Overlapping occurrences join into passages and are extended as far as the owner's text agrees (``CONTEXT`` bytes).
-
-So any run of 51 words or more that recurs is found, and nothing shorter than 32 words is. Words are split at ASCII white
-space, of which all kinds count as one blank. A popular shard is copied to several tasks, so its documents are spread.
+A passage is a union of windows of ``PHRASE + WINDOW - 1`` = 51 consecutive words, each of which documents of two ids have.
+Words are split at ASCII white space, however much of it. All such windows are found, in every document that has them, and nothing else:
+
+1. Fingerprint: each window selects its least phrase of ``PHRASE`` words (by hash, the leftmost of equals). Equal windows select equal
+   phrases, so a window recurs only if its phrase is selected in documents of two ids. Equal texts are read once, for all their ids.
+2. Confirm and compile: the phrases selected in two ids, taken from the document with the least id (their owner), are sharded into
+   Aho-Corasick automata (pyahocorasick) of bounded size; the phrases of an owner that has very many are spread over several shards.
+3. Stream: every document that can hold one of a shard's phrases is read whole against its automaton, which locates all their occurrences.
+4. Windows: those around located phrases are compared by 64-bit hashes over all documents. Each recurs if it is in two ids, and
+   belongs to the least of them. A batch of documents sends every distinct window once, so a window that a third of all documents
+   have reaches its task once for each batch. What is found returns to the batch, where windows that touch join into passages.
+
+A popular shard is copied to several tasks, so its documents are spread. No count is capped.
 """
 
 from __future__ import annotations
 
-
-import uuid
+import os
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_batch, id_and_text, key_groups, map_batches, shared_dir, stored
-from .textkernel import SPACE, Words, mix, prefix, runs, spans, utf8
+from .common import arrow_map, as_batch, id_and_text, key_groups, map_batches, stored
+from .textkernel import Words, powers, runs, spans, utf8
 
 PHRASE = 32
 WINDOW = 20
-CONTEXT = 400
 PHRASES_PER_SHARD = 4000
 DOCS_PER_TASK = 4000
-SLICE_PHRASES = 1 << 19
-SLICE_BITS = 1 << 23
-FILTER_BYTES = 64 << 20
+WINDOWS_PER_ROW = 1 << 17
+WINDOWS_PER_PART = 1 << 20
+PLACES = 28
+ALONE = np.iinfo(np.int64).min
 
-BLANK = np.arange(256, dtype=np.uint8)
-BLANK[SPACE] = 32
-BLANKS = {c: " " for c in map(chr, (9, 10, 11, 12, 13))}
-BLANKS = str.maketrans(BLANKS)
+BLANKS = str.maketrans({c: " " for c in map(chr, (9, 10, 11, 12, 13))})
 
 
 def sliding(values: np.ndarray, w: int, reduce) -> np.ndarray:
@@ -54,284 +50,308 @@ def sliding(values: np.ndarray, w: int, reduce) -> np.ndarray:
     return reduce(out[: len(out) - (w - span)], out[w - span :]) if w > span else out
 
 
-def fingerprints(raw: np.ndarray, offsets: np.ndarray, phrase: int = PHRASE, window: int = WINDOW):
-    """document, hash, first and last byte of the selected phrases; equal ones of a document once, where it first occurs."""
-    words = Words(raw, offsets)
-    n = len(words) - phrase + 1
-    if n < window:
-        return (np.zeros(0, np.int64),) * 4
-    doc = words.doc()
-    start, end = words.start[:n], words.end[phrase - 1 :]
-    value = spans(prefix(BLANK[raw]), start, end) >> np.uint64(1)
-    whole = doc[:n] == doc[phrase - 1 :]
-    value[~whole] = np.uint64(2**64 - 1)
-    fits = doc[: n - window + 1] == doc[phrase + window - 2 :]
-    least = np.where(fits, sliding(value, window, np.minimum), np.uint64(0))
-    pad = np.zeros(window - 1, np.uint64)
-    most = sliding(np.concatenate([pad, least, pad]), window, np.maximum)
-    at = np.flatnonzero((most == value) & whole & (most > 0))
-    d, v = doc[at], value[at].astype(np.int64)
-    order = np.lexsort((at, v, d))
-    first = np.ones(len(at), bool)
-    first[1:] = (np.diff(d[order]) != 0) | (np.diff(v[order]) != 0)
-    at = np.sort(at[order[first]])
-    return doc[at], value[at].astype(np.int64), start[at], end[at]
-
-
-def phrases(raw: np.ndarray, offsets: np.ndarray, phrase: int = PHRASE):
-    """document, hash, first and last byte of all phrases."""
-    words = Words(raw, offsets)
-    n = len(words) - phrase + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 4
-    doc = words.doc()
-    at = np.flatnonzero(doc[:n] == doc[phrase - 1 :])
-    start, end = words.start[at], words.end[at + phrase - 1]
-    return doc[at], (spans(prefix(BLANK[raw]), start, end) >> np.uint64(1)).astype(np.int64), start, end
-
-
-def probes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of a slice for each phrase."""
-    h = mix(fp.astype(np.uint64))
-    return (h % np.uint64(SLICE_BITS)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(SLICE_BITS)).astype(np.int64)
-
-
-class Filter:
-    """Which phrases may recur: none that does is left out, one in seventy of the others passes."""
-
-    kept: dict[str, np.ndarray] = {}
-
-    def __init__(self, path: str, slices: int):
-        self.path, self.slices = path, slices
-
-    @classmethod
-    def of(cls, confirmed: DataFrame, n: int) -> "Filter":
-        slices = max(1, -(-n // SLICE_PHRASES))
-
-        def build(batches):
-            for batch in key_groups(batches, "slice"):
-                of, fp = batch.column("slice").to_numpy(), batch.column("fp").to_numpy()
-                for i in np.unique(of):
-                    bits = np.zeros(SLICE_BITS, np.uint8)
-                    for at in probes(fp[of == i]):
-                        bits[at] = 1
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["slice", "bits"])
-
-        by = confirmed.select("fp", F.pmod("fp", F.lit(slices)).cast("int").alias("slice")).repartition("slice").sortWithinPartitions("slice")
-        path = f"{shared_dir(confirmed.sparkSession)}/docloom/filter-{uuid.uuid4().hex}"
-        map_batches(by, build, "slice int, bits binary").write.partitionBy("slice").parquet(path)
-        return cls(path, slices)
-
-    def slice(self, i: int) -> np.ndarray:
-        name = f"{self.path}/slice={i}"
-        if name not in self.kept:
-            fs, path = pyarrow.fs.FileSystem.from_uri(name)
-            found = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
-            bits = [b for f in found for b in pq.ParquetFile(f, filesystem=fs).read(["bits"]).column(0).to_pylist()]
-            while self.kept and (len(self.kept) + 1) * SLICE_BITS // 8 > FILTER_BYTES:
-                self.kept.pop(next(iter(self.kept)))
-            self.kept[name] = np.frombuffer(bits[0], np.uint8) if bits else np.zeros(SLICE_BITS // 8, np.uint8)
-        return self.kept[name]
-
-    def passes(self, fp: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(fp), bool)
-        where = fp % self.slices
-        for i in range(self.slices):
-            mine = np.flatnonzero(where == i)
-            if len(mine):
-                bits = self.slice(i)
-                a, b = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 for at in probes(fp[mine]))
-                out[mine] = (a & b).astype(bool)
-        return out
-
-
-def recurring(rows: DataFrame, phrase: int, window: int) -> DataFrame:
-    """fp, id, s, e, owner of all phrases that two or more ids select, in all documents that hold them (where each first does)."""
+class Prints:
+    """Phrases and windows of some documents laid end to end.
 
-    def select(batch: pa.RecordBatch):
-        raw, offsets = utf8(batch.column("text"))
-        ids = batch.column("id").to_numpy()
-        for i, j in runs(offsets):
-            d, v, _, _ = fingerprints(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], phrase, window)
-            yield {"fp": v, "id": ids[i:j][d] if len(d) else d}
+    ``value`` is the hash of the phrase that begins at each word, ``select`` the word at which each window's selected phrase begins;
+    ``fits`` marks the windows that lie in one document.
+    """
 
-    posts = arrow_map(rows, select, "fp long, id long").groupBy("fp").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    confirmed = stored(posts.where("a < b").select("fp"), "confirmed")
-    may = Filter.of(confirmed, confirmed.count())
-
-    def hold(batch: pa.RecordBatch):
-        raw, offsets = utf8(batch.column("text"))
-        ids = batch.column("id").to_numpy()
-        for i, j in runs(offsets):
-            d, v, s, e = phrases(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], phrase)
-            at = np.flatnonzero(may.passes(v))
-            order = np.lexsort((at, v[at], d[at]))
-            first = np.ones(len(at), bool)
-            first[1:] = (np.diff(d[at][order]) != 0) | (np.diff(v[at][order]) != 0)
-            at = np.sort(at[order[first]])
-            d, v = d[at], v[at]
-            base = (offsets[i:j] - offsets[i])[d]
-            yield {"fp": v, "id": ids[i:j][d], "s": s[at] - base, "e": e[at] - base}
-
-    held = arrow_map(rows, hold, "fp long, id long, s int, e int").join(confirmed, "fp", "left_semi")
-    return held.withColumn("owner", F.min("id").over(Window.partitionBy("fp")))
-
-
-def extension(ours: str, theirs: str, back: bool) -> int:
-    """Characters, in whole words, that both texts share from the phrase outwards."""
-    n, most = 0, min(len(ours), len(theirs))
-    while n < most and (ours[-1 - n] == theirs[-1 - n] if back else ours[n] == theirs[n]):
-        n += 1
-    edge = (n == len(ours) or ours[-1 - n] == " ") and (n == len(theirs) or theirs[-1 - n] == " ") if back else (n == len(ours) or ours[n] == " ") and (n == len(theirs) or theirs[n] == " ")
-    while n and not edge:
-        n -= 1
-        c = ours[-1 - n] if back else ours[n]
-        edge = c == " "
-    while n and (ours[-n] if back else ours[n - 1]) == " ":
-        n -= 1
-    return n
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, phrase: int = PHRASE, window: int = WINDOW):
+        self.words, self.size = Words(raw, offsets), phrase + window - 1
+        hashes = self.words.hashes(lower=False)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(len(hashes) + 1)[0][: len(hashes)])])
+        self.doc = self.words.doc()
+        n, windows = len(hashes) - phrase + 1, len(hashes) - self.size + 1
+        if windows < 1:
+            self.value, self.select, self.fits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+            return
+        at = np.arange(n)
+        value = spans(self.sums, at, at + phrase) >> np.uint64(1)
+        key = (value >> np.uint64(PLACES - 1) << np.uint64(PLACES)) | at.astype(np.uint64)
+        key[self.doc[:n] != self.doc[phrase - 1 :]] = np.uint64(2**64 - 1)
+        self.value = value.astype(np.int64)
+        self.select = (sliding(key, window, np.minimum) & np.uint64((1 << PLACES) - 1)).astype(np.int64)
+        self.fits = self.doc[:windows] == self.doc[self.size - 1 :]
+
+    def selected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """document, hash and first word (in its document) of the selected phrases; equal ones of a document once, where the first is."""
+        at = np.unique(self.select[self.fits])
+        d, v = self.doc[at], self.value[at]
+        order = np.lexsort((at, v, d))
+        first = np.ones(len(at), bool)
+        first[1:] = (np.diff(d[order]) != 0) | (np.diff(v[order]) != 0)
+        at = at[order[first]]
+        return self.doc[at], self.value[at], at - self.words.first[self.doc[at]]
+
+    def windows(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that begin at these words."""
+        return spans(self.sums, starts, starts + self.size).astype(np.int64)
+
+
+def split(text: str) -> list[str]:
+    return [w for w in text.translate(BLANKS).split(" ") if w]
 
 
 class Automaton:
-    """Aho-Corasick automaton of one shard's phrases: (text, owner, text before, text after)."""
+    """Aho-Corasick automaton of one shard's phrases."""
 
     def __init__(self):
         self.machine, self.made = ahocorasick.Automaton(), False
 
-    def add(self, text: str, owner: int, before: str, after: str) -> None:
-        self.machine.add_word(text, (len(text), owner, before, after))
+    def add(self, phrase: str) -> None:
+        self.machine.add_word(phrase, len(phrase))
 
-    def passages(self, text: str) -> list[tuple[int, int, int]]:
-        """start, end, owner of the passages of text, in code points."""
+    def found(self, words: list[str]) -> np.ndarray:
+        """The words at which a phrase begins, rising."""
         if not self.made:
             self.machine.make_automaton()
             self.made = True
         if self.machine.kind != ahocorasick.AHOCORASICK:
-            return []
-        text = text.translate(BLANKS)
-        n, open_, out = len(text), {}, []
-
-        def close(owner):
-            s, e, before, after = open_.pop(owner)
-            s -= extension(text[max(0, s - CONTEXT) : s], before, True)
-            e += extension(text[e : e + CONTEXT], after, False)
-            out.append((s, e, owner))
-
-        for last, (size, owner, before, after) in self.machine.iter(text):
-            s, e = last + 1 - size, last + 1
-            if (s and text[s - 1] != " ") or (e < n and text[e] != " "):
-                continue
-            run = open_.get(owner)
-            if run and s <= run[1]:
-                if e >= run[1]:
-                    run[1], run[3] = e, after
-                if s < run[0]:
-                    run[0], run[2] = s, before
-            else:
-                if run:
-                    close(owner)
-                open_[owner] = [s, e, before, after]
-        for owner in list(open_):
-            close(owner)
-        return merged(out)
-
-
-def merged(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out: list[tuple[int, int, int]] = []
-    for s, e, owner in sorted(found, key=lambda x: (x[2], x[0], x[1])):
-        if out and out[-1][2] == owner and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]), owner)
-        else:
-            out.append((s, e, owner))
-    return out
-
-
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE, window: int = WINDOW) -> DataFrame:
-    """doc_id, first_doc, start, end (code points, end exclusive), n_words of every recurring passage, that of its first document (least id) too.
+            return np.zeros(0, np.int64)
+        hits = [(last + 1 - size, last + 1) for last, size in self.machine.iter(" ".join(words))]
+        if not hits:
+            return np.zeros(0, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        s, e = np.array(hits, np.int64).T
+        at, to = np.searchsorted(starts, s), np.searchsorted(ends, e)
+        whole = (at < len(starts)) & (to < len(ends))
+        whole[whole] = (starts[at[whole]] == s[whole]) & (ends[to[whole]] == e[whole])
+        return np.unique(at[whole])
+
+
+def confirmed(rows: DataFrame, phrase: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """fp, tk, id, at of all selected phrases; and fp, owner, shard of those selected in two ids (stored)."""
 
-    Null, empty and short texts (under phrase words) have none; texts under phrase + window - 1 words have those that longer ones
-    confirm. Repeated rows with one id count as one document: a
-    passage only in them doesn't recur, one that others have is located in each row, given once. Null ids are left out; an
-    empty table gives no rows; other columns are ignored.
-    """
-    rows = id_and_text(docs, id_col, text_col)
-    found = stored(recurring(rows, phrase, window), "phrases")
-    shards = max(1, -(-found.where("id = owner").select("fp").distinct().count() // PHRASES_PER_SHARD))
-    shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")
-    routes = (
-        found.select("id", shard.alias("shard"))
-        .distinct()
-        .withColumn("copies", F.ceil(F.count("*").over(Window.partitionBy("shard")) / DOCS_PER_TASK).cast("int"))
-        .groupBy("id")
-        .agg(F.collect_list(F.struct("shard", "copies")).alias("routes"))
-    )
-    own = found.where("id = owner").groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("own"))
-    read = rows.join(routes.join(own, "id", "left"), "id").withColumn("home", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    def select(batch: pa.RecordBatch):
+        raw, offsets = utf8(batch.column("text"))
+        ids, texts = batch.column("id").to_numpy(), batch.column("tk").to_numpy()
+        for i, j in runs(offsets):
+            d, v, at = Prints(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], phrase, window).selected()
+            yield {"fp": v, "tk": texts[i:j][d], "id": ids[i:j][d], "at": at}
+
+    posts = arrow_map(rows, select, "fp long, tk long, id long, at int")
+    twice = stored(posts.groupBy("fp").agg(F.min("id").alias("owner"), F.max("id").alias("b")).where("owner < b").select("fp", "owner"), "confirmed")
+    shards = max(1, -(-twice.count() // PHRASES_PER_SHARD))
+    pieces = twice.groupBy("owner").agg(F.ceil(F.count("*") / F.lit(PHRASES_PER_SHARD)).alias("pieces"))
+    shard = F.pmod(F.xxhash64("owner", F.pmod("fp", F.col("pieces"))), F.lit(shards)).cast("int")
+    return posts, twice.join(pieces, "owner").select("fp", "owner", shard.alias("shard"))
+
+
+def located(rows: DataFrame, phrase: int, window: int) -> DataFrame:
+    """Rows of up to WINDOWS_PER_ROW windows around located phrases: batch (unique), doc (tk), a and b (least and greatest id) and n
+    (windows) of some documents, and of each window its hash h, first word w, and first and last character s and e, packed."""
+    members = rows.groupBy("tk").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+    posts, phrases = confirmed(rows, phrase, window)
+    held = stored(posts.join(phrases, "fp").join(members, "tk").where("id = a").drop("a"), "phrases")
+    load = held.groupBy("shard").agg(F.ceil(F.countDistinct("tk") / F.lit(DOCS_PER_TASK)).cast("int").alias("copies"))
+    routes = held.groupBy("tk", "id", "shard").agg(F.max("b").alias("b")).join(load, "shard").groupBy("tk", "id").agg(F.max("b").alias("b"), F.collect_list(F.struct("shard", "copies")).alias("routes"))
+    own = held.where("id = owner").join(load, "shard").groupBy("tk", "id").agg(F.collect_list(F.struct("shard", "copies", "at")).alias("own"))
+    read = rows.join(routes.join(own, ["tk", "id"], "left"), ["tk", "id"])
 
     def expand(batch: pa.RecordBatch):
-        out = {k: [] for k in ("shard", "part", "kind", "id", "text", "before", "after")}
+        names = ("shard", "part", "kind", "tk", "a", "b", "text")
+        out, size = {k: [] for k in names}, 0
 
         def add(*row):
-            for k, v in zip(out, row):
+            for k, v in zip(names, row):
                 out[k].append(v)
 
-        size = 0
-        for id_, text, routed, spans_, home in zip(*(batch.column(k).to_pylist() for k in ("id", "text", "routes", "own", "home"))):
+        for tk, a, b, text, routed, mine in zip(*(batch.column(k).to_pylist() for k in ("tk", "id", "b", "text", "routes", "own"))):
             for r in routed:
-                add(r["shard"], id_ % r["copies"], 1, id_, text, None, None)
+                add(r["shard"], tk % r["copies"], 1, tk, a, b, text)
                 size += len(text)
-            if spans_:
-                copies = next(r["copies"] for r in routed if r["shard"] == home)
-                data = text.encode()
-                for x in spans_:
-                    s, e = x["s"], x["e"]
-                    one = [t.decode(errors="ignore").translate(BLANKS) for t in (data[s:e], data[max(0, s - CONTEXT) : s], data[e : e + CONTEXT])]
-                    for part in range(copies):
-                        add(home, part, 0, id_, *one)
-                    size += copies * (e - s + 2 * CONTEXT)
+            if mine:
+                words = split(text)
+                for x in mine:
+                    pattern = " ".join(words[x["at"] : x["at"] + phrase])
+                    for part in range(x["copies"]):
+                        add(x["shard"], part, 0, tk, None, None, pattern)
+                    size += x["copies"] * len(pattern)
             if size > 1 << 23:
                 yield out
-                out, size = {k: [] for k in out}, 0
+                out, size = {k: [] for k in names}, 0
         yield out
 
-    work = arrow_map(read, expand, "shard int, part long, kind int, id long, text string, before string, after string")
+    work = arrow_map(read, expand, "shard int, part long, kind int, tk long, a long, b long, text string")
     work = work.repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
-    schema = pa.schema([("doc_id", pa.int64()), ("first_doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32())])
+    schema = pa.schema([("batch", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("doc", "a", "b", "n")], *[(c, pa.binary()) for c in ("h", "w", "s", "e")]])
 
     def locate(batches):
         now, machine = None, None
         for batch in batches:
-            out = {k: [] for k in schema.names}
-            for shard_, part, kind, id_, text, before, after in zip(*(batch.column(k).to_pylist() for k in ("shard", "part", "kind", "id", "text", "before", "after"))):
-                if (shard_, part) != now:
-                    now, machine = (shard_, part), Automaton()
-                if kind == 0:
-                    machine.add(text, id_, before, after)
-                    continue
-                for s, e, owner in machine.passages(text):
-                    if owner > id_:  # this document has the passage first, by another phrase that both selected
-                        continue
-                    for k, v in zip(out, (id_, owner, s, e, len(text[s:e].split()))):
-                        out[k].append(v)
-            yield as_batch(out, schema)
-
-    return map_batches(work, locate, "doc_id long, first_doc long, start int, end int, n_words int").distinct()
+            shard, part, kind = (batch.column(c).to_numpy() for c in ("shard", "part", "kind"))
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(part) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(shard)]):
+                if (shard[i], part[i]) != now:
+                    now, machine = (shard[i], part[i]), Automaton()
+                first = i + int(np.searchsorted(kind[i:j], 1))
+                for pattern in batch.column("text").slice(i, first - i).to_pylist():
+                    machine.add(pattern)
+                raw, offsets = utf8(batch.column("text").slice(first, j - first))
+                for x, y in runs(offsets):
+                    some = batch.slice(first + x, y - x)
+                    yield from around(machine, some, raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+
+    def around(machine, docs: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray):
+        prints = Prints(raw, offsets, phrase, window)
+        first, hit = prints.words.first, np.zeros(len(prints.value), bool)
+        for d, text in enumerate(docs.column("text").to_pylist()):
+            if first[d + 1] - first[d] >= prints.size:
+                hit[first[d] + machine.found(split(text))] = True
+        at = np.flatnonzero(prints.fits)
+        at = at[hit[prints.select[at]]]
+        if not len(at):
+            return
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        doc = prints.doc[at]
+        zero = chars[offsets[:-1]][doc]
+        s, e = chars[prints.words.start[at]] - zero, chars[prints.words.end[at + prints.size - 1]] - zero
+        h, w = prints.windows(at), at - first[doc]
+        for i in range(0, len(at), WINDOWS_PER_ROW):
+            m = slice(i, i + WINDOWS_PER_ROW)
+            d, n = np.unique(doc[m], return_counts=True)
+            keys = {"doc": docs.column("tk"), "a": docs.column("a"), "b": docs.column("b")}
+            row = {k: [v.to_numpy()[d]] for k, v in keys.items()} | {"n": [n], "batch": [int.from_bytes(os.urandom(8), "little", signed=True)]}
+            yield as_batch(row | {"h": [h[m].tobytes()], "w": [small(w[m])], "s": [small(s[m])], "e": [small(e[m])]}, schema)
+
+    kinds = "batch long, doc array<long>, a array<long>, b array<long>, n array<long>, h binary, w binary, s binary, e binary"
+    return stored(map_batches(work, locate, kinds), "located")
+
+
+def small(values: np.ndarray) -> bytes:
+    """Numbers that rise slowly, compressed."""
+    return pa.compress(np.diff(values, prepend=0).astype(np.int32).tobytes(), "zstd", asbytes=True)
+
+
+def large(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.int32).astype(np.int64))
+
+
+def cells(row: dict, parts: int):
+    """Distinct windows of a row in the order of part and hash: hash, part, least and greatest id, and the place of each of the row's windows."""
+    h = np.frombuffer(row["h"], np.int64)
+    a, b = (np.repeat(np.array(row[c], np.int64), row["n"]) for c in ("a", "b"))
+    part = h % parts
+    order = np.lexsort((h, part))
+    first = np.ones(len(h), bool)
+    first[1:] = np.diff(h[order]) != 0
+    at = np.flatnonzero(first)
+    place = np.empty(len(h), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return h[order][at], part[order][at], np.minimum.reduceat(a[order], at), np.maximum.reduceat(b[order], at), place
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values, np.int64).tobytes(), "zstd", asbytes=True)
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE, window: int = WINDOW) -> DataFrame:
+    """doc_id, first_doc, start, end (code points, end exclusive), n_words of every passage.
+
+    Of each document, the windows of phrase + window - 1 words that a document of another id has too; those with one and the same
+    least id that has them (first_doc, the document's own id in the first document) join where they overlap or touch.
+
+    Null, empty and shorter texts have none. Repeated rows with one id count as one document: a window only in rows of one id doesn't
+    recur, one that others have is located in each of its texts, given once for each. Any white space counts as one blank.
+    Null ids are left out; an empty table gives no rows; other columns are ignored.
+    """
+    return _spans(docs, id_col, text_col, phrase, window).select("doc_id", "first_doc", "start", "end", "n_words")
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, phrase: int = PHRASE, window: int = WINDOW) -> DataFrame:
+    """passages() with tk, the hash of the text that they are in."""
+    rows = id_and_text(docs, id_col, text_col).where("text IS NOT NULL").withColumn("tk", F.xxhash64("text"))
+    table, size = located(rows, phrase, window), phrase + window - 1
+    total = table.agg(F.sum(F.octet_length("h"))).first()[0] or 0
+    parts = max(1, -(-total // (8 * WINDOWS_PER_PART)))
+
+    def send(batch: pa.RecordBatch):
+        for row in batch.to_pylist():
+            h, part, a, b, _ = cells(row, parts)
+            cuts = np.flatnonzero(np.diff(part)) + 1
+            out = {k: [] for k in ("part", "batch", "h", "a", "b")}
+            for i, j in zip([0, *cuts], [*cuts, len(h)]):
+                for k, v in zip(out, (int(part[i]), row["batch"], h[i:j].tobytes(), squeezed(a[i:j]), squeezed(b[i:j]))):
+                    out[k].append(v)
+            yield out
+
+    answer = pa.schema([("batch", pa.int64()), ("part", pa.int64()), ("first", pa.binary())])
+
+    def decide(batches):
+        for group in key_groups(batches, "part"):
+            got = group.to_pylist()
+            h = [np.frombuffer(r["h"], np.int64) for r in got]
+            a, b = (np.concatenate([np.frombuffer(pa.decompress(r[c], 8 * len(x), "zstd", asbytes=True), np.int64) for r, x in zip(got, h)]) for c in ("a", "b"))
+            _, kind = np.unique(np.concatenate(h), return_inverse=True)
+            least, most = np.full(kind.max() + 1, np.iinfo(np.int64).max), np.full(kind.max() + 1, np.iinfo(np.int64).min)
+            np.minimum.at(least, kind, a)
+            np.maximum.at(most, kind, b)
+            first = np.where(least < most, least, ALONE)[kind]
+            bounds = np.cumsum([0, *map(len, h)])
+            yield as_batch({"batch": [r["batch"] for r in got], "part": [r["part"] for r in got], "first": [squeezed(first[i:j]) for i, j in zip(bounds[:-1], bounds[1:])]}, answer)
+
+    sent = arrow_map(table.select("batch", "a", "b", "n", "h"), send, "part long, batch long, h binary, a binary, b binary")
+    told = map_batches(sent.repartition("part").sortWithinPartitions("part"), decide, "batch long, part long, first binary")
+    told = told.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("part", "first"))).alias("told"))
+
+    def join(batch: pa.RecordBatch):
+        for row in batch.to_pylist():
+            h, part, _, _, place = cells(row, parts)
+            width = np.diff(np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(h)]]))
+            first = np.concatenate([np.frombuffer(pa.decompress(x["first"], 8 * int(k), "zstd", asbytes=True), np.int64) for x, k in zip(row["told"], width)])[place]
+            doc = np.repeat(np.arange(len(row["n"])), row["n"])
+            w, s, e = (large(row[c], len(first)) for c in ("w", "s", "e"))
+            keep = np.flatnonzero(first != ALONE)
+            if len(keep):
+                order = keep[np.lexsort((w[keep], first[keep], doc[keep]))]
+                doc, first, w, s, e = doc[order], first[order], w[order], s[order], e[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(doc) != 0) | (np.diff(first) != 0) | (np.diff(w) > size)
+                at = np.flatnonzero(new)
+                last = np.append(at[1:], len(order)) - 1
+                yield {"tk": np.array(row["doc"], np.int64)[doc[at]], "first_doc": first[at], "w": w[at], "to": w[last] + size, "start": s[at], "end": e[last]}
+
+    parts_of = arrow_map(table.join(told, "batch"), join, "tk long, first_doc long, w long, to long, start int, end int")
+    schema = pa.schema([("tk", pa.int64()), ("first_doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32())])
+
+    def merge(batches):
+        for group in key_groups(batches, "tk"):
+            tk, first, w, to, start, end = (group.column(c).to_numpy() for c in ("tk", "first_doc", "w", "to", "start", "end"))
+            new = np.ones(len(tk), bool)
+            new[1:] = (np.diff(tk) != 0) | (np.diff(first) != 0)
+            at = np.flatnonzero(new)
+            level = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(tk)))) << 40
+            reach = np.maximum.accumulate(to + level)
+            new[1:] |= (w + level)[1:] > reach[:-1]
+            at = np.flatnonzero(new)
+            yield as_batch({"tk": tk[at], "first_doc": first[at], "start": start[at], "end": np.maximum.reduceat(end, at), "n_words": np.maximum.reduceat(to, at) - w[at]}, schema)
+
+    merged = map_batches(parts_of.repartition("tk").sortWithinPartitions("tk", "first_doc", "w"), merge, "tk long, first_doc long, start int, end int, n_words int")
+    return merged.join(rows.select("tk", F.col("id").alias("doc_id")).distinct(), "tk")
 
 
 def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs without the passages that a document with a lower id has too; a document of which nothing but white space is left goes.
 
-    The first document keeps its text. Untouched rows stay as they are; n_chars follows the new text.
+    The first document keeps its text. Untouched rows stay as they are (nulls, empty and blank texts and rows without id too); n_chars, if
+    there, follows the new text. Of rows with one id each loses the passages of its own text; rows that are quite equal stay as many as they are.
+    An empty table gives none; other columns are kept, whatever their names.
     """
-    spans_ = passages(docs, id_col, text_col).where("first_doc < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("__cuts"))
-    both = docs.join(spans_.withColumnRenamed("doc_id", id_col), id_col, "left").select(*docs.columns, "__cuts")
+    names = docs.columns
+    hidden = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    spans_ = _spans(docs, id_col, text_col).where("first_doc < doc_id").groupBy("tk", "doc_id").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    on = (F.xxhash64(hidden[text]) == spans_["tk"]) & (hidden[key].cast("long") == spans_["doc_id"])
+    both = hidden.join(spans_, on, "left").select(*hidden.columns, "cuts")
     fields = docs.schema
 
     def run(batches):
         for batch in batches:
-            cuts = batch.column("__cuts").to_pylist()
+            cuts = batch.column("cuts").to_pylist()
             hit = np.array([c is not None for c in cuts], bool)
-            columns = {k: batch.column(k) for k in fields.names}
+            columns = {k: batch.column(i) for i, k in enumerate(names)}
             keep = np.ones(len(cuts), bool)
             if hit.any():
                 texts = columns[text_col].to_pylist()
@@ -343,7 +363,7 @@ def cut(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_c
                 if chars_col in columns:
                     new = pc.utf8_length(columns[text_col]).cast(columns[chars_col].type)
                     columns[chars_col] = pc.if_else(pa.array(hit), new, columns[chars_col])
-            yield pa.RecordBatch.from_arrays([columns[k] for k in fields.names], names=fields.names).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([columns[k] for k in names], names=names).filter(pa.array(keep))
 
     return map_batches(both, run, fields)
 
