@@ -92,17 +92,19 @@ def lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
 
-def key_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by key, cut anew so that no key's rows are in two of them."""
+def key_groups(batches: Iterable[pa.RecordBatch], key: str | list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by the key columns, cut anew so that no key's rows are in two of them."""
+    names = [key] if isinstance(key, str) else key
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        if held and held[-1].column(key)[-1].as_py() != k[0]:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in names]
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(names, columns)):
             yield joined(held)
             held = []
-        cut = int(np.searchsorted(k, k[-1], "left"))
+        other = np.flatnonzero(np.any([c != c[-1] for c in columns], 0))
+        cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
             yield joined([*held, batch.slice(0, cut)])
             held = []

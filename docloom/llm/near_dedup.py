@@ -7,11 +7,11 @@ Two documents are near duplicates when at least ``THRESHOLD`` coordinates agree.
 * a pair with t agreeing coordinates shares t keys that occur at least twice. With a document's m such keys in the order
   of rising frequency, one shared key must be among its first m-t+1 (prefix filter). Only these are posted, and a document
   with m < t is skipped altogether;
-* posting lists with the same members are compared once, under their least key;
+* posting lists with the same members are compared once, and long lists block by block (links.py);
 * within a posting list the agreeing coordinates are counted at once over all partners; a pair that an earlier shared
   prefix key has already counted is skipped.
 
-No list or partner is capped.
+No list or partner is capped. Links are counted and joined into classes; pairs aren't listed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_batch, dropped, id_and_text, key_groups, map_batches, stored
+from .common import arrow_map, id_and_text, stored
+from .links import classes, linked, weighed
 from .textkernel import Words, runs, shingles, utf8
 
 COORDINATES = 64
@@ -46,54 +47,47 @@ def signature_matrix(raw: np.ndarray, offsets: np.ndarray, n: int = COORDINATES,
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = COORDINATES, k: int = SHINGLE) -> DataFrame:
-    """id, h (hash of the signature), sig (n little-endian 32-bit minima). Documents without words have none."""
+    """id, h (hash of the signature), sig (n little-endian 32-bit minima); both null for documents without words."""
 
     def run(batch: pa.RecordBatch):
         raw, offsets = utf8(batch.column("text"))
         ids = batch.column("id").to_numpy()
         for i, j in runs(offsets):
             sig, rows = signature_matrix(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n, k)
-            if len(rows):
-                yield {"id": ids[i:j][rows], "sig": [x.tobytes() for x in sig]}
-
-    return arrow_map(id_and_text(docs, id_col, text_col), run, "id long, sig binary").withColumn("h", F.xxhash64("sig"))
-
-
-def _pairs_in(n: int, threshold: int):
-    def run(batches):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("matches", pa.int32())])
-        for batch in key_groups(batches, "key"):
-            keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
-            sig = np.stack([np.frombuffer(x, "<u4") for x in batch.column("sig").to_pylist()])
-            mask = batch.column("mask").to_numpy().view(np.uint64)
-            bit = (np.uint64(1) << np.arange(n, dtype=np.uint64))
-            in_prefix = (mask[:, None] & bit) != 0
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
-            found: list[tuple] = []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                m = b - a
-                if m < 2:
-                    continue
-                coordinate = int(keys[a] >> 32)
-                block = max(1, (1 << 22) // (m * n))
-                for x in range(a, b, block):
-                    y = min(x + block, b)
-                    same = sig[x:y, None, :] == sig[None, a:b, :]
-                    count = same.sum(2, dtype=np.int32)
-                    i, j = np.nonzero((count >= threshold) & (ids[x:y, None] < ids[None, a:b]))
-                    if len(i):
-                        shared = same[i, j] & in_prefix[x + i] & in_prefix[a + j]
-                        here = shared.argmax(1) == coordinate
-                        found.append((ids[x + i[here]], ids[a + j[here]], count[i[here], j[here]]))
-            if found:
-                left, right, count = map(np.concatenate, zip(*found))
-                yield as_batch({"a": left, "b": right, "matches": count}, schema)
-
-    return run
-
-
-def signature_pairs(reps: DataFrame, n: int = COORDINATES, threshold: int = THRESHOLD) -> DataFrame:
-    """All pairs a < b of the rows (id, sig; ids unique) whose signatures agree on at least threshold coordinates."""
+            every: list[bytes | None] = [None] * (j - i)
+            for r, x in zip(rows.tolist(), sig):
+                every[r] = x.tobytes()
+            yield {"id": ids[i:j], "sig": every}
+
+    return arrow_map(id_and_text(docs, id_col, text_col), run, "id long, sig binary").withColumn("h", F.when(F.col("sig").isNotNull(), F.xxhash64("sig")))
+
+
+def _agreeing(n: int, threshold: int):
+    bit = np.uint64(1) << np.arange(n, dtype=np.uint64)
+
+    def compare(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
+        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, n)
+        in_prefix = (batch.column("mask").to_numpy().view(np.uint64)[:, None] & bit) != 0
+        coordinate = batch.column("key")[0].as_py() >> 32
+        theirs = np.ascontiguousarray(sig[right])
+        step = max(1, (1 << 22) // (len(right) * n))
+        for x in range(0, len(left), step):
+            some = left[x : x + step]
+            same = sig[some][:, None, :] == theirs[None]
+            near = same.sum(2, dtype=np.int32) >= threshold
+            if left is right:
+                near &= some[:, None] < right
+            i, j = np.nonzero(near)
+            if len(i):
+                shared = same[i, j] & in_prefix[some[i]] & in_prefix[right[j]]
+                here = shared.argmax(1) == coordinate
+                yield some[i[here]], right[j[here]]
+
+    return compare
+
+
+def signature_links(reps: DataFrame, n: int = COORDINATES, threshold: int = THRESHOLD) -> DataFrame:
+    """h, near, links of the rows (h, sig, weight; h unique) whose signatures agree with others on at least threshold coordinates."""
     assert 0 < threshold <= n <= 64
 
     def explode(batch: pa.RecordBatch):
@@ -101,92 +95,57 @@ def signature_pairs(reps: DataFrame, n: int = COORDINATES, threshold: int = THRE
             return
         values = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, n).astype(np.int64)
         keys = values + (np.arange(n, dtype=np.int64) << 32)
-        yield {"key": keys.ravel(), "id": np.repeat(batch.column("id").to_numpy(), n)}
+        yield {"key": keys.ravel(), "h": np.repeat(batch.column("h").to_numpy(), n)}
 
-    postings = arrow_map(reps.select("id", "sig"), explode, "key long, id long")
-    seen = postings.withColumn("df", F.count("*").over(Window.partitionBy("key"))).where("df > 1")
+    postings = arrow_map(reps.select("h", "sig"), explode, "key long, h long")
+    often = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     prefix = stored(
-        seen.groupBy("id")
+        postings.join(often, "key")
+        .groupBy("h")
         .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks"))
         .where(F.size("ks") >= threshold)
-        .select("id", F.expr(f"transform(slice(ks, 1, size(ks) - {threshold - 1}), x -> x.key)").alias("keys"))
+        .select("h", F.expr(f"transform(slice(ks, 1, size(ks) - {threshold - 1}), x -> x.key)").alias("keys"))
         .withColumn("mask", F.expr("aggregate(keys, 0L, (m, k) -> m | shiftleft(1L, cast(shiftright(k, 32) as int)))")),
         "prefixes",
     )
-    posted = prefix.select("id", F.explode("keys").alias("key")).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
-    once = posted.groupBy("ids").agg(F.min("key").alias("key")).select("key", F.explode("ids").alias("id"))
-    rows = once.join(prefix.select("id", "mask").join(reps.select("id", "sig"), "id"), "id").select("key", "id", "sig", "mask")
-    return map_batches(rows.repartition("key").sortWithinPartitions("key"), _pairs_in(n, threshold), "a long, b long, matches int")
+    return linked(prefix.select("h", F.explode("keys").alias("key")), prefix.select("h", "mask").join(reps, "h"), ["key"], _agreeing(n, threshold))
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = COORDINATES, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
-    """doc_a < doc_b, matches. Documents with one and the same signature appear as pairs of the least id with each other one
-    (matches = n); the least ids of different signatures appear pairwise where they agree on >= threshold coordinates.
-
-    Null or blank text: the document has no signature and no pair. Null id: left out. Repeated rows of one id: the pair of a
-    document with itself is never given; an id with several texts counts with each. Texts shorter than a shingle: one shingle
-    of all words. Empty table: no rows. Other columns are ignored.
-    """
-    sigs = stored(signatures(docs, id_col, text_col, n, k), "signatures")
-    reps = stored(sigs.groupBy("h").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig")), "representatives")
-    copies = sigs.select("h", F.col("id").alias("b")).distinct().join(reps.select("h", F.col("id").alias("a")), "h").where("a < b")
-    unique = reps.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    pairs = signature_pairs(reps if unique.isEmpty() else _one_id_each(reps), n, threshold)
-    if not unique.isEmpty():
-        pairs = _real_ids(pairs, _one_id_each(reps))
-    return copies.select("a", "b", F.lit(n).alias("matches")).unionByName(pairs).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "matches")
-
-
-def _one_id_each(reps: DataFrame) -> DataFrame:
-    """Where one id has several signatures: the signature's hash stands in for the id."""
-    return reps.select(F.col("h").alias("id"), F.col("id").alias("doc"), "sig")
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = COORDINATES, threshold: int = THRESHOLD, k: int = SHINGLE) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies: a row for each document.
 
+    Two documents are linked where their signatures agree on at least threshold of n coordinates. n_links counts the others that a document is
+    linked to, n_copies those of them with the very same signature; class_id is the least id that chains of links lead to.
 
-def _real_ids(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    names = reps.select(F.col("id").alias("h"), "doc")
-    both = pairs.join(names.toDF("a", "da"), "a").join(names.toDF("b", "db"), "b")
-    return both.where("da <> db").groupBy(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).agg(F.max("matches").alias("matches"))
-
-
-def components(pairs: DataFrame) -> DataFrame:
-    """Connected components of pairs (a, b): id, root (least id of the component), for every id of a pair.
-
-    Alternating large-star and small-star steps; every round's edges are a stored table.
+    Null or blank text: a class of its own, without links. Null id: left out. Repeated rows of one id and signature count
+    once; an id with texts of several signatures has a row for each, and they are linked like those of others. Texts shorter than a shingle: one
+    shingle of all words. Very long texts are read whole. Empty table: no rows. Other columns are ignored.
     """
-    edges = stored(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(Window.partitionBy("u")))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.distinct().withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        small = least.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        new = stored(small, "edges")
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(edges)
-        edges = new
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+    sigs = stored(signatures(docs, id_col, text_col, n, k), "signatures")
+    members = sigs.select("id", "h").distinct()
+    reps = stored(sigs.where("h IS NOT NULL").groupBy("h").agg(F.any_value("sig").alias("sig")).join(weighed(members.where("h IS NOT NULL")).drop("rep"), "h"), "representatives")
+    return classes(members, signature_links(reps, n, threshold))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near duplicates: of each connected group of near_pairs() the document with the least id stays.
+    """docs without near duplicates: of each class of near_classes() the document with the least id stays.
 
-    Documents without text or id stay; of rows with one and the same id, one stays (its least text).
+    Documents without text or id stay; of rows with one and the same id, one stays (its least text). Other columns are kept, whatever their names.
     """
-    pairs = stored(near_pairs(docs, id_col, text_col).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "pairs")
-    gone = components(pairs).where("id <> root").select(F.col("id").alias(id_col))
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    again = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(f"n > 1 AND {id_col} IS NOT NULL").select(id_col)
-    if again.isEmpty():
-        return kept
-    first = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())
-    single = kept.join(again, id_col, "left_semi").withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
-    return kept.join(again, id_col, "left_anti").select(*docs.columns).unionByName(single.select(*docs.columns))
+    names = docs.columns
+    hidden = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    gone = near_classes(docs, id_col, text_col).groupBy("doc_id").agg(F.min("class_id").alias("class_id")).where("doc_id <> class_id").select("doc_id")
+    kept = hidden.join(gone, hidden[key].cast("long") == gone["doc_id"], "left_anti")
+    again = hidden.groupBy(key).agg(F.count("*").alias("n")).where(f"n > 1 AND {key} IS NOT NULL").select(key)
+    if not again.isEmpty():
+        first = Window.partitionBy(key).orderBy(F.col(text).asc_nulls_first())
+        single = kept.join(again, key, "left_semi").withColumn("place", F.row_number().over(first)).where("place = 1")
+        kept = kept.join(again, key, "left_anti").select(*hidden.columns).unionByName(single.select(*hidden.columns))
+    return kept.select(*hidden.columns).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return near_pairs(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents"))

@@ -1,17 +1,19 @@
 """Document fingerprints by SpotSigs.
 
 A spot signature is an anchor (a very common word) and the chain of the next ``CHAIN`` content words after it; words of the
-common-word list are passed over. A document is the set of its signatures. Pairs whose sets have a Jaccard similarity of at least
-``THRESHOLD`` are found exactly:
+common-word list are passed over. A document is the set of its signatures; one without any is the set of its chains of CHAIN + 1
+words of whatever kind, so that its copies are found too. Documents are linked where their sets have a Jaccard similarity of at least
+``THRESHOLD``, exactly:
 
 * equal sets are folded first;
 * documents are partitioned by set length, so that a partition's pairs can only be with itself and the next one;
 * a document needs ceil(threshold * size) signatures that others have too. With m such signatures in the order of rising
   frequency, one that a partner shares is among the first m - ceil(threshold * size) + 1; only these are posted, and
-  posting lists with the same members are compared once;
-* within a list, pairs whose lengths alone rule the threshold out are pruned, the others' overlaps are counted together.
+  posting lists with the same members are compared once, long ones block by block (links.py);
+* within a list, pairs whose lengths alone rule the threshold out are pruned, the others' overlaps are counted together. A pair
+  counts in the partition of the longer document, under the least posted signature that both have.
 
-No list is capped.
+No list is capped. Links are counted and joined into classes; pairs aren't listed.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_batch, id_and_text, joined, lists, map_batches, stored
-from .textkernel import STEP, Words, mix, runs, utf8
+from .common import arrow_map, id_and_text, lists, stored
+from .links import classes, linked, weighed
+from .textkernel import STEP, Words, mix, runs, shingles, utf8
 
 ANCHORS = ["the", "is", "der", "ist", "le", "est", "el", "los"]
 COMMON = """a an and are as at be by for from he in is it of on or that the this to was were which with
@@ -54,12 +57,18 @@ def signatures(raw: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, common
     if len(spot):
         inside = doc[content[after + chain - 1]] == doc[spot]
         spot, after = spot[inside], after[inside]
-    if not len(spot):
-        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     value = h[spot]
     for i in range(chain):
         value = value * STEP + h[content[after + i]]
-    value, d = mix(value), doc[spot]
+    grams, bounds = shingles(h, words.first, chain + 1)
+    none = np.ones(n, bool)
+    none[doc[spot]] = False
+    every = np.repeat(np.arange(n), np.diff(bounds))
+    fallback = none[every]
+    value, d = np.concatenate([mix(value), mix(grams[fallback])]), np.concatenate([doc[spot], every[fallback]])
+    if not len(d):
+        return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
+    value = value.view(np.int64)
     order = np.lexsort((value, d))
     value, d = value[order], d[order]
     keep = np.ones(len(d), bool)
@@ -68,123 +77,98 @@ def signatures(raw: np.ndarray, offsets: np.ndarray, anchors: np.ndarray, common
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchors: list[str] | None = None, common: list[str] | None = None, chain: int = CHAIN) -> DataFrame:
-    """id, h (hash of the set), spots (sorted signature hashes as longs). Documents without a signature have no row."""
+    """id, spots (sorted signature hashes as longs, none for documents without words)."""
     a, c = word_hashes(anchors or ANCHORS), word_hashes([*(common or COMMON), *(anchors or ANCHORS)])
 
     def run(batch: pa.RecordBatch):
         raw, offsets = utf8(batch.column("text"))
         for i, j in runs(offsets):
             spots, bounds = signatures(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], a, c, chain)
-            some = np.flatnonzero(np.diff(bounds))
-            if len(some):
-                yield {"id": batch.column("id").slice(i, j - i).take(pa.array(some)), "spots": lists(spots.view(np.int64), np.append(bounds[:-1][some], bounds[-1]), pa.int64())}
-
-    return arrow_map(id_and_text(docs, id_col, text_col), run, "id long, spots array<long>").withColumn("h", F.xxhash64("spots"))
-
-
-def _compare(threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("overlap", pa.int32()), ("jaccard", pa.float64())])
-
-    def whole_lists(batches):
-        held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k1, k2 = batch.column("list").to_numpy(), batch.column("h2").to_numpy()
-            if held and (held[-1].column("list")[-1].as_py(), held[-1].column("h2")[-1].as_py()) != (k1[0], k2[0]):
-                yield joined(held)
-                held = []
-            cut = int(np.flatnonzero((k1 != k1[-1]) | (k2 != k2[-1]))[-1]) + 1 if ((k1 != k1[-1]) | (k2 != k2[-1])).any() else 0
-            if cut:
-                yield joined([*held, batch.slice(0, cut)])
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield joined(held)
-
-    def run(batches):
-        for batch in whole_lists(batches):
-            ids, k1, k2 = (batch.column(c).to_numpy() for c in ("id", "list", "h2"))
-            spots = batch.column("spots")
-            bounds = spots.offsets.to_numpy()
-            flat = spots.values.to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1, [len(ids)]])
-            found = []
-            for s, e in zip(cuts[:-1], cuts[1:]):
-                size = np.diff(bounds[s : e + 1]).astype(np.int64)
-                for i, j, overlap in overlaps(flat[bounds[s] : bounds[e]], size):
-                    union = size[i] + size[j] - overlap
-                    keep = (ids[s + i] < ids[s + j]) & (overlap >= threshold * union)
-                    found.append((ids[s + i][keep], ids[s + j][keep], overlap[keep], overlap[keep] / union[keep]))
-            if found:
-                yield as_batch(dict(zip(schema.names, map(np.concatenate, zip(*found)))), schema)
-
-    def overlaps(values: np.ndarray, size: np.ndarray, block: int = 256):
-        """Row numbers and common elements of all ordered pairs whose lengths allow the threshold, block by block."""
-        m = len(size)
+            yield {"id": batch.column("id").slice(i, j - i), "spots": lists(spots, bounds, pa.int64())}
+
+    return arrow_map(id_and_text(docs, id_col, text_col), run, "id long, spots array<long>")
+
+
+def _overlapping(threshold: float):
+    def compare(batch: pa.RecordBatch, left: np.ndarray, right: np.ndarray):
+        part, spot = batch.column("part")[0].as_py(), batch.column("spot")[0].as_py()
+        size, home = batch.column("size").to_numpy().astype(np.int64), batch.column("home").to_numpy()
+        overlap = common(batch.column("spots"), left, right, None)
+        larger = np.maximum(size[left][:, None], size[right])
+        union = size[left][:, None] + size[right] - overlap
+        near = (overlap > 0) & (np.minimum(size[left][:, None], size[right]) >= threshold * larger) & (overlap >= threshold * union)
+        near &= np.maximum(home[left][:, None], home[right]) == part
+        if left is right:
+            near &= left[:, None] < right
+        if near.any():
+            near &= common(batch.column("posted"), left, right, spot) == 0
+        i, j = np.nonzero(near)
+        yield left[i], right[j]
+
+    def common(sets: pa.ListArray, left: np.ndarray, right: np.ndarray, below: int | None) -> np.ndarray:
+        """How many elements (less than below) each two rows share."""
+        bounds, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        row = np.repeat(np.arange(len(sets)), np.diff(bounds))
+        values = values[bounds[0] : bounds[-1]]
+        if below is not None:
+            row, values = row[values < below], values[values < below]
         distinct, element = np.unique(values, return_inverse=True)
-        row = np.repeat(np.arange(m), size)
-        common = np.bincount(element, minlength=len(distinct)) > 1
-        number = np.cumsum(common) - 1
-        mine = common[element]
-        row, element = row[mine], number[element[mine]]
-        width = int(common.sum())
-        for a in range(0, m, block):
-            b = min(a + block, m)
-            counts = np.zeros((b - a, m))
-            for lo in range(0, width, 4096):
-                hi = min(width, lo + 4096)
-                pick = (element >= lo) & (element < hi)
-                matrix = np.zeros((m, hi - lo), np.float32)
-                matrix[row[pick], element[pick] - lo] = 1
-                counts += matrix[a:b] @ matrix.T
-            allowed = np.minimum(size[a:b, None], size) >= threshold * np.maximum(size[a:b, None], size)
-            i, j = np.nonzero(allowed & (counts > 0))
-            yield i + a, j, counts[i, j].astype(np.int64)
-
-    return run
-
-
-def set_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a < b, overlap, jaccard of all pairs of rows (id, spots; ids unique) with Jaccard similarity >= threshold (above 0)."""
+        shared = np.bincount(element, minlength=len(distinct)) > 1
+        number = np.cumsum(shared) - 1
+        row, element = row[shared[element]], number[element[shared[element]]]
+        order = np.argsort(element, kind="stable")
+        row, element = row[order], element[order]
+        counts = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, int(shared.sum()), 4096):
+            i, j = np.searchsorted(element, [lo, lo + 4096])
+            matrix = np.zeros((len(sets), min(4096, int(shared.sum()) - lo)), np.float32)
+            matrix[row[i:j], element[i:j] - lo] = 1
+            counts += matrix[left] @ matrix[right].T
+        return counts.astype(np.int64)
+
+    return compare
+
+
+def set_links(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """h, near, links of the rows (h, spots, weight; h unique) whose sets have a Jaccard similarity >= threshold (above 0) with others."""
     assert 0 < threshold <= 1
     ratio = -math.log(threshold) or 1.0
-    sized = sets.select("id", "spots", F.floor(F.log(F.size("spots").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("int").alias("part"))
-    posts = sized.select("id", "part", F.size("spots").alias("size"), F.explode("spots").alias("spot"))
-    seen = posts.withColumn("df", F.count("*").over(Window.partitionBy("spot"))).where("df > 1")
+    sized = sets.select("h", F.size("spots").alias("size"), "spots", F.floor(F.log(F.size("spots").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("int").alias("home"))
+    posts = sized.select("h", "home", "size", F.explode("spots").alias("spot"))
+    often = posts.groupBy("spot").agg(F.count("*").alias("df")).where("df > 1")
     need = F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    prefix = (
-        seen.groupBy("id", "part", "size")
+    prefix = stored(
+        posts.join(often, "spot")
+        .groupBy("h", "home", "size")
         .agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("ks"))
         .where(F.size("ks") >= need)
-        .select("id", "part", F.explode(F.slice("ks", F.lit(1), F.size("ks") - need + 1)).alias("k"))
-        .select("id", F.explode(F.array("part", F.col("part") + 1)).alias("part"), "k.spot")
+        .select("h", "home", "size", F.transform(F.slice("ks", F.lit(1), F.size("ks") - need + 1), lambda k: k["spot"]).alias("posted")),
+        "prefixes",
     )
-    groups = prefix.groupBy("part", "spot").agg(F.array_sort(F.collect_list("id")).alias("ids")).where("size(ids) > 1")
-    distinct = groups.select(F.xxhash64("ids").alias("list"), F.hash("ids").alias("h2"), "ids").dropDuplicates(["list", "h2"])
-    rows = distinct.select("list", "h2", F.explode("ids").alias("id")).join(sets.select("id", "spots"), "id")
-    found = map_batches(rows.repartition("list", "h2").sortWithinPartitions("list", "h2"), _compare(threshold), "a long, b long, overlap int, jaccard double")
-    return found.distinct()
+    keys = prefix.select("h", F.explode(F.array("home", F.col("home") + 1)).alias("part"), "posted").select("h", "part", F.explode("posted").alias("spot"))
+    return linked(keys, prefix.join(sets, "h"), ["part", "spot"], _overlapping(threshold))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, chain: int = CHAIN, anchors: list[str] | None = None, common: list[str] | None = None) -> DataFrame:
-    """doc_a < doc_b, n_common, jaccard. Documents with one and the same set appear as pairs of the least id with each other one
-    (jaccard 1); the least ids of different sets appear pairwise from the threshold on.
+    """doc_id, class_id, n_links, n_copies: a row for each document.
 
-    Null, blank and anchorless texts have no signature and no pair. Null ids are left out. Repeated rows of one id never pair
-    with themselves; the signatures of an id's several texts are joined. Empty table: no rows. Other columns are ignored.
+    Documents are linked where their sets' Jaccard similarity is at least threshold. n_links counts the others that a document is linked to, n_copies those of
+    them with the very same set; class_id is the least id that chains of links lead to.
+
+    Null and blank texts: a class of their own, without links. Anchorless texts are sets of word chains, shorter ones of one chain
+    of all words. Null ids are left out. Repeated rows of one id count once; the signatures of an id's several texts are joined.
+    Very long texts are read whole. Empty table: no rows. Other columns are ignored.
     """
     prints = fingerprints(docs, id_col, text_col, anchors, common, chain)
     repeated = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n")).where("n > 1 AND id IS NOT NULL").select("id")
     if not repeated.isEmpty():
-        several = prints.join(repeated, "id", "left_semi").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("spots")).withColumn("h", F.xxhash64("spots"))
-        prints = prints.join(repeated, "id", "left_anti").select("id", "spots", "h").unionByName(several.select("id", "spots", "h"))
-    sets = stored(prints, "spots")
-    reps = sets.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    folded = stored(sets.join(reps, "h").withColumn("first", F.col("id") == F.col("rep")).select("id", "rep", F.when(F.col("first"), F.col("spots")).alias("spots"), F.size("spots").alias("size")), "folded")
-    copies = folded.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("size").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    pairs = set_pairs(folded.where("id = rep").select("id", "spots"), threshold)
-    return copies.unionByName(pairs).select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("overlap").alias("n_common"), "jaccard")
+        several = prints.join(repeated, "id", "left_semi").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("spots"))
+        prints = prints.join(repeated, "id", "left_anti").select("id", "spots").unionByName(several)
+    sets = stored(prints.select("id", F.when(F.size("spots") > 0, F.col("spots")).alias("spots")).withColumn("h", F.when(F.col("spots").isNotNull(), F.xxhash64("spots"))), "spots")
+    members = sets.select("id", "h")
+    reps = weighed(members.where("h IS NOT NULL"))
+    folded = stored(sets.join(reps, "h").where("id = rep").select("h", "spots", "weight"), "folded")
+    return classes(members, set_links(folded, threshold))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

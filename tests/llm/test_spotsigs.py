@@ -1,11 +1,12 @@
-import itertools
 import random
 
 import pytest
 
+from docloom.llm import links as L
 from docloom.llm import spotsigs as S
 
 from .helpers import ODD, docs, edited
+from .test_links import by_links
 
 
 def corpus(n=40):
@@ -28,24 +29,35 @@ def sets_of(text, chain=S.CHAIN):
     return frozenset(out)
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8, 1.0])
-def test_pairs_are_those_of_brute_force(spark, threshold):
-    rows = corpus()
-    sets = {i: sets_of(t) for i, t in rows if sets_of(t)}
-    rep = {}
-    for i in sorted(sets):
-        rep.setdefault(sets[i], i)
-    want = {(rep[s], i, len(s), 1.0) for i, s in sets.items() if rep[s] != i}
-    for a, b in itertools.combinations(sorted(rep.values()), 2):
-        n, u = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-        if n and n >= threshold * u:
-            want.add((a, b, n, n / u))
-    got = [tuple(r) for r in S.similar(docs(spark, rows), threshold=threshold).collect()]
-    assert len(got) == len(set(got)) and set(got) == want and (threshold == 1.0 or len(want) > 5)
+def brute(sets, threshold):
+    return by_links({(i, s or None) for i, s in sets.items()}, lambda x, y: len(x & y) > 0 and len(x & y) >= threshold * len(x | y))
+
+
+def chains(text, n=S.CHAIN + 1):
+    words = text.lower().split()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+@pytest.mark.parametrize(("threshold", "block"), [(0.3, 1024), (0.3, 5), (0.5, 1024), (0.5, 3), (0.8, 1024), (1.0, 1024)])
+def test_classes_are_those_of_brute_force(spark, monkeypatch, threshold, block):
+    monkeypatch.setattr(L, "BLOCK", block)
+    rows = [*corpus(), (103, "no anchors here"), (104, "nothing"), (105, "nothing"), (106, "one two three four five six"), (107, "one two three four five six seven"), (108, " ")]
+    want = brute({i: sets_of(t) or chains(t) for i, t in rows}, threshold)
+    got = sorted(tuple(r) for r in S.similar(docs(spark, rows), threshold=threshold).collect())
+    assert got == want and (threshold == 1.0 or sum(n for _, _, n, _ in want) > 10)
+    assert dict((r[0], r[1]) for r in got)[103] == 102
+
+
+def test_sets_of_many_sizes_share_common_spots(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"the w{x} q r" for x in sorted(r.sample(range(24), r.randrange(1, 24))))) for i in range(80)]
+    want = brute({i: sets_of(t) or chains(t) for i, t in rows}, 0.5)
+    assert sorted(tuple(x) for x in S.similar(docs(spark, rows)).collect()) == want and sum(n for _, _, n, _ in want) > 200
 
 
 def test_odd_rows(spark):
     text = "the red fox runs is blue sky high"
     d = docs(spark, [*ODD, (1, text), (1, text), (2, text), (1, None)])
-    assert [(r.doc_a, r.doc_b) for r in S.similar(d).collect()] == [(1, 2)]
+    got = {r.doc_id: tuple(r)[1:] for r in S.similar(d).collect()}
+    assert got[1] == got[2] == (1, 1, 1) and got[90] == (90, 0, 0) and set(got) == {1, 2, *range(90, 96)}
     assert S.similar(d.limit(0)).count() == 0
