@@ -175,23 +175,23 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     reach = stored(total.select("vk", (last + shared).cast("int").alias("level")).join(asks, "vk"), "reach")
 
     def gather(batches):
-        schema = pa.schema([("home", pa.int32()), ("vk", pa.int64()), ("n", pa.int32()), ("ids", pa.binary())])
+        schema = pa.schema([("home", pa.int32()), ("vk", pa.int64()), ("ids", pa.list_(pa.int64()))])
         for code, key, asked, ask, level in blocks(batches):
             home = (mix(key.astype(np.uint64)) % np.uint64(homes)).astype(np.int64)
             low, high = ranges(code, asked, level)
             for i in range(0, len(asked), 1024):
-                out = {c: [] for c in schema.names}
-                for q, a, b in zip(ask[i : i + 1024].tolist(), low[i : i + 1024], high[i : i + 1024]):
-                    order = np.lexsort((key[a:b], home[a:b]))
-                    ids, at = key[a:b][order], home[a:b][order]
-                    cuts = np.append(np.flatnonzero(np.r_[True, np.diff(at) != 0]), len(ids)) if len(ids) else [0]
-                    for x, y in zip(cuts[:-1], cuts[1:]):
-                        for c, v in zip(out, (int(at[x]), q, int(y - x), squeezed(ids[x:y]))):
-                            out[c].append(v)
-                yield as_batch(out, schema)
-
-    asked_for = stored(map_batches(with_trees(packed(reach, "vk", dim, shared, "level"), cells), gather, "home int, vk long, n int, ids binary"), "candidates")
-    none = {"kind": F.lit(0), "vk": F.lit(0).cast("long"), "id": F.lit(0).cast("long"), "vec": F.lit(None).cast("binary"), "n": F.lit(0), "ids": F.lit(None).cast("binary")}
+                lo, n = low[i : i + 1024], (high - low)[i : i + 1024]
+                who_ = np.repeat(np.arange(len(n)), n)
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                if homes > 1:
+                    order = np.lexsort((home[at], who_))
+                    who_, at = who_[order], at[order]
+                if len(at):
+                    cuts = np.flatnonzero(np.r_[True, (np.diff(who_) != 0) | (np.diff(home[at]) != 0)])
+                    yield as_batch({"home": home[at[cuts]], "vk": ask[i : i + 1024][who_[cuts]], "ids": lists(key[at], np.append(cuts, len(at)), pa.int64())}, schema)
+
+    asked_for = stored(map_batches(with_trees(packed(reach, "vk", dim, shared, "level"), cells), gather, "home int, vk long, ids array<long>"), "candidates")
+    none = {"kind": F.lit(0), "vk": F.lit(0).cast("long"), "id": F.lit(0).cast("long"), "vec": F.lit(None).cast("binary"), "ids": F.lit(None).cast("array<long>")}
     there = asked_for.select("home", "vk").distinct().join(asks, "vk").withColumn("kind", F.lit(1))
     every_kind = [t.withColumns({c: v for c, v in none.items() if c not in t.columns}).select("home", *none) for t in (index, there, asked_for.withColumn("kind", F.lit(2)))]
     work = every_kind[0].unionByName(every_kind[1]).unionByName(every_kind[2]).repartition("home").sortWithinPartitions("home", "kind", "vk")
@@ -203,9 +203,9 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         def answer():
             nonlocal open_
             if open_:
-                some = np.unique(np.concatenate(open_))
-                lo, hi = np.searchsorted(held[0], some), np.searchsorted(held[0], some, "right")
-                at = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+                chosen = np.zeros(len(held[2]), bool)
+                chosen[np.searchsorted(held[2], np.concatenate(open_))] = True
+                at = np.flatnonzero(chosen[held[3]])
                 cosine = held[1][at] @ asked[vk]
                 ids, cosine = best(held[0][at], cosine, k + 1)
                 open_ = []
@@ -228,12 +228,14 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
                     if isinstance(held, list):
                         ids, m = map(np.concatenate, zip(*held))
                         order = np.argsort(ids, kind="stable")
-                        held = (ids[order], m[order])
-                    for q, n_, data in zip(key[i:j].tolist(), part.column("n").to_pylist(), part.column("ids").to_pylist()):
+                        held = (ids[order], m[order], *np.unique(ids[order], return_inverse=True))
+                    column = part.column("ids")
+                    bounds, values = column.offsets.to_numpy(), column.values.to_numpy()
+                    for n_, q in enumerate(key[i:j].tolist()):
                         if q != vk and (x := answer()) is not None:
                             yield x
                         vk = q
-                        open_.append(keys(data, n_))
+                        open_.append(values[bounds[n_] : bounds[n_ + 1]])
         if (x := answer()) is not None:
             yield x
 
@@ -245,11 +247,13 @@ def neighbours(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
 def best(ids: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k ids of the greatest cosines, each id once, equal ones in the order of ids."""
-    order = np.lexsort((-cosine, ids))
-    ids, cosine = ids[order], cosine[order]
-    first = np.r_[True, np.diff(ids) != 0] if len(ids) else np.zeros(0, bool)
-    ids, cosine = ids[first], cosine[first]
-    order = np.lexsort((ids, -cosine))[:k]
+    some = np.flatnonzero(cosine >= np.partition(cosine, len(cosine) - 4 * k)[len(cosine) - 4 * k]) if len(cosine) > 4 * k else np.arange(len(cosine))
+    order = some[np.lexsort((ids[some], -cosine[some]))]
+    _, first = np.unique(ids[order], return_index=True)
+    if len(first) < k and len(some) < len(cosine):  # one id has many vectors
+        order = np.lexsort((ids, -cosine))
+        _, first = np.unique(ids[order], return_index=True)
+    order = order[np.sort(first)[:k]]
     return ids[order], cosine[order]
 
 
