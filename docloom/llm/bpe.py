@@ -179,7 +179,8 @@ def direct(c: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, text. A null list gives a null text; bytes that aren't UTF-8 (a list cut inside a character) become U+FFFD; an id
-    outside the vocabulary and a null in a list stand for no bytes."""
+    outside the vocabulary and a null in a list stand for no bytes. Null document ids and repeated rows are kept, one row out for one in; an empty
+    table gives none; very long lists are decoded whole; other columns are ignored."""
     rows = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("__ids"))
 
     def run(batch: pa.RecordBatch):

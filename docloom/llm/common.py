@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -30,29 +31,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset (local tests) a temporary one is set."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one is set on a local master; on a cluster that is an error,
+    as its executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="docloom-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: Paths of the tables that stored() made and nobody deleted, in their order.
+_made: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet to a fresh path of the shared folder and reads it back, so lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession, since: int, kept: DataFrame) -> None:
+    """Deletes the tables that stored() made after the first ``since`` of them, but for the one that kept reads. For when what they led to is stored itself."""
+    files = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for f in kept.inputFiles()}
+    for path in _made[since:]:
+        if path.split(":", 1)[-1].lstrip("/") not in files:
+            delete(spark, path)
+
+
+def made() -> int:
+    return len(_made)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/docloom/" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

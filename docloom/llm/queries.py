@@ -23,5 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_packing": packing.SQL,
+    "op4_spotsigs": spotsigs.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
+    "op10_lm_scoring": lm_scoring.SQL,
 }

@@ -175,3 +175,27 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return similar(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    quoted = lambda words: "(" + ", ".join(f"'{w}'" for w in sorted(set(words))) + ")"
+    upper, space = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "[ \\t\\n\\r\\f\\v]+"
+    return f"""
+WITH RECURSIVE t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(translate(text, '{upper}', '{upper.lower()}'), '{space}'), lambda x: x <> ''), lambda x: regexp_replace(x, '[!-/:-@\\[-`{{-~]', '', 'g')) AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+k AS (SELECT *, CASE WHEN w IN {quoted([*COMMON, *ANCHORS])} THEN 0 ELSE 1 END AS is_content FROM w),
+m AS (SELECT *, sum(is_content) OVER (PARTITION BY doc_id ORDER BY i) AS seen FROM k),
+c AS (SELECT doc_id, seen, {", ".join(f"lead(w, {j}) OVER (PARTITION BY doc_id ORDER BY i) AS c{j}" for j in range(CHAIN))}, count(*) OVER (PARTITION BY doc_id) AS n FROM m WHERE is_content = 1),
+anchored AS (SELECT DISTINCT m.doc_id, concat_ws(' ', m.w, {", ".join(f"c{j}" for j in range(CHAIN))}) AS spot FROM m JOIN c ON c.doc_id = m.doc_id AND c.seen = m.seen + 1 WHERE m.w IN {quoted(ANCHORS)} AND c.seen + {CHAIN - 1} <= c.n),
+bare AS (SELECT doc_id, ws FROM t WHERE len(ws) > 0 AND doc_id NOT IN (SELECT doc_id FROM anchored)),
+s AS (SELECT * FROM anchored UNION SELECT doc_id, array_to_string(ws[i:i + {CHAIN}], ' ') FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {CHAIN}) + 1)) AS i FROM bare)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.spot = b.spot AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT p.a, p.b, o = x.n AND o = y.n AS same FROM p JOIN z x ON x.doc_id = p.a JOIN z y ON y.doc_id = p.b WHERE o >= {THRESHOLD} * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT q.a AS doc_id, q.class_id, coalesce(l.n_links, 0) AS n_links, coalesce(l.n_copies, 0) AS n_copies FROM (SELECT a, min(b) AS class_id FROM r GROUP BY a) q
+LEFT JOIN (SELECT a, count(*) AS n_links, count(*) FILTER (same) AS n_copies FROM e GROUP BY a) l ON l.a = q.a
+"""
+
+
+SQL = _sql()

@@ -380,3 +380,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     return passages(table(spark, sf_dir, "documents"))
+
+
+_SPACE = "[ \\t\\n\\r\\f\\v]"
+SQL = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_SPACE}*[^ \\t\\n\\r\\f\\v]+') AS parts FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, list_transform(parts, lambda x: regexp_replace(x, '^{_SPACE}+', '')) AS ws, parts FROM t WHERE len(parts) >= {PHRASE + WINDOW - 1}),
+u AS (SELECT doc_id, unnest(ws) AS w, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p),
+c AS (SELECT doc_id, i, w, sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM u),
+v AS (SELECT doc_id, i, stop - length(w) AS start, lead(stop, {PHRASE + WINDOW - 2}) OVER (PARTITION BY doc_id ORDER BY i) AS stop, list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {PHRASE + WINDOW - 2} FOLLOWING) AS window_ FROM c),
+h AS (SELECT window_, min(doc_id) AS first_doc FROM v WHERE stop IS NOT NULL GROUP BY window_ HAVING count(DISTINCT doc_id) > 1),
+f AS (SELECT v.doc_id, v.i, h.first_doc, v.start, v.stop FROM v JOIN h ON v.window_ = h.window_ WHERE v.stop IS NOT NULL),
+g AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id, first_doc ORDER BY i) <= {PHRASE + WINDOW - 1} THEN 0 ELSE 1 END AS new FROM f),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, first_doc ORDER BY i) AS run FROM g)
+SELECT doc_id, first_doc, min(start)::INT AS start, max(stop)::INT AS "end", (max(i) - min(i) + {PHRASE + WINDOW - 1})::INT AS n_words FROM r GROUP BY doc_id, first_doc, run
+"""
