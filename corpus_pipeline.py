@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import language_id, near_dedup, packing, substring_dedup
-from docloom.llm.common import stored, table
+from docloom.llm.common import made, stored, swept, table
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's rows are written and read again before the next."""
+    """All stages over documents; every stage's rows are written and read again before the next, and its working tables go then.
+
+    Null, empty and blank texts go at the first stage, rows without id stay through all; of rows with one id one stays (near_dedup). Very long texts are
+    read whole. An empty table gives no rows. Documents' other columns are kept until the last stage, which ignores them.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = made()
         docs = stored(stage(spark, docs, sf_dir), name)
+        swept(spark, before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
