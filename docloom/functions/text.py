@@ -66,12 +66,30 @@ def ocr_cost(model: Column, pages: Column) -> Column:
     return (pages * prices(model, OCR_PRICES)).cast("decimal(18,0)").__truediv__(F.lit(1000000).cast("decimal(7,0)")).cast("decimal(10,6)")
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ" + "Ё"
+
+
 def tokens(t: Column) -> Column:
-    """Lower-case runs of Cyrillic and plain Latin letters and digits."""
-    return F.transform(F.regexp_extract_all(t, F.lit("([0-9A-Za-zЁёА-Яа-я]+)"), F.lit(1)), lambda x: F.lower(x))
+    """Lower-case runs of Cyrillic and plain Latin letters and digits. Only those letters are lowered, before the search, so no others become them."""
+    return F.regexp_extract_all(F.translate(t, _UPPER, _UPPER.lower()), F.lit("([0-9a-zа-яё]+)"), F.lit(1))
+
+
+def has_tokens(t: Column) -> Column:
+    return t.rlike("[0-9A-Za-zЁёА-Яа-я]")
+
 
+UPLOADED = "uploaded_document"
 
-def safe_name(t: Column, default: str = "uploaded_document") -> Column:
+
+def safe_upload_name(t: Column) -> Column:
+    """Stem and suffix of a file name made safe each for itself: the suffix in lower case, of plain letters, digits and dots alone."""
+    base = F.regexp_extract(t, r"([^/]*)$", 1)
+    ending = F.regexp_extract(base, r"^.+?([.][^.]+)$", 1)
+    stem = F.substring(base, F.lit(1), F.length(base) - F.length(ending))
+    return F.concat(safe_name(stem), F.regexp_replace(F.lower(ending), "[^a-z0-9.]+", ""))
+
+
+def safe_name(t: Column, default: str = UPLOADED) -> Column:
     kept = F.regexp_replace(F.regexp_replace(t, "[^._0-9a-zа-яA-ZА-Я-]+", "_"), "^[._]+|[._]+$", "")
     return F.coalesce(F.nullif(kept, F.lit("")), F.lit(default))
 
@@ -88,7 +106,7 @@ def extension_class(ext: Column) -> Column:
 
 
 def route(ext: Column) -> Column:
-    """Parser that a document's extension leads to."""
+    """Reader that a document's extension leads to."""
     bare = F.ltrim(ext, F.lit("."))
     return (
         F.when(bare.isin(NATIVE), bare).when(bare.isin("doc", "odt", "rtf"), "docx").when(bare.isin("xls", "ods"), "xlsx")
@@ -141,6 +159,12 @@ def backoff_seconds(attempt: Column, limited: Column, attempts: int = 3) -> Colu
     return F.when(limited, F.least(step * 2, F.lit(30.0))).when(attempt < attempts, step)
 
 
+def elapsed_ms(begin: Column, end: Column) -> Column:
+    """Whole milliseconds between two times."""
+    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(begin.cast("timestamp"))
+    return F.floor(micros / F.lit(1000)).cast("long")
+
+
 def stage_name(ext: Column) -> Column:
     return F.concat(F.lit("parse_"), F.ltrim(ext, F.lit(".")))
 

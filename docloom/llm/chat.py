@@ -3,7 +3,8 @@
 States are (role, begins a turn or goes on), for the roles system, user and assistant. Of each line the model sees the
 speaker marker at its start (if any) together with whether a blank line stands before it, and its shape (length class, question
 mark). The two features are independent given the state. Start, transition and emission probabilities are counted over all labelled
-conversations (add-one smoothing), in Spark; Viterbi finds the likeliest states of all transcripts of a batch at once.
+conversations (smoothed by a few lines with the markers that their states
+suggest, and with the shapes and moves that all roles have in common), in Spark; Viterbi finds the likeliest states of all transcripts of a batch at once.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,13 @@ _WRITTEN = {"system": "System", "user": "User", "assistant": "Assistant"}
 SHAPES = 8
 FEATURES = (15, SHAPES)
 STATES = 2 * len(ROLES)
+FOLDS = 8
+#: Lines of each state that are taken to have been seen: beginnings with their own role's marker, others without one.
+SEEN = 24
+PRIOR = np.zeros((STATES, FEATURES[0]))
+for _r in range(len(ROLES)):
+    PRIOR[2 * _r, 3 * (_r + 1) : 3 * (_r + 2)] = SEEN / 3
+    PRIOR[2 * _r + 1, [0, 1, 2, 12, 13, 14]] = SEEN / 6
 
 
 def transcript(turns: list[tuple[str | None, str]], style: str) -> tuple[str, list[int], list[int]]:
@@ -72,7 +81,9 @@ def conversations(table: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
 
 
 def written(table: DataFrame, **columns: str) -> DataFrame:
-    """conv_id, transcript, states: each conversation as raw text in one of STYLES (chosen by its id), with every line's state."""
+    """conv_id, transcript, states: each conversation as raw text in one of STYLES (chosen by its id), with every line's state. A turn whose role isn't
+    one of ROLES (a tool's, say, or null) is written without a marker, its lines have no state and don't count in fit(). Repeated turns are written each;
+    columns other than the four are ignored, whatever their names."""
 
     def run(batch: pa.RecordBatch):
         texts, states = [], []
@@ -90,7 +101,15 @@ class Model:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: list[np.ndarray]):
         log = lambda c: np.log((c + 1) / (c + 1).sum(-1, keepdims=True))
-        self.start, self.move, self.emit = log(start), log(move), [log(e) for e in emit]
+        kind, role = np.arange(STATES) % 2, np.arange(STATES) // 2
+        shape, step = np.zeros((STATES, SHAPES)), np.zeros((STATES, STATES))
+        to = np.where(role[:, None] != role, 2 + kind, kind)  # own beginning, own going on, another's beginning (and what can't be)
+        for k in (0, 1):  # what holds for all roles' beginnings, or for all their other lines
+            seen = emit[1][kind == k].sum(0)
+            shape[kind == k] = SEEN * seen / max(1, seen.sum())
+            for t in (0, 1, 2):
+                step[(kind == k)[:, None] & (to == t)] = SEEN * move[(kind == k)[:, None] & (to == t)].sum() / max(1, move[kind == k].sum()) / max(1, (to[kind == k][0] == t).sum())
+        self.start, self.move, self.emit = log(start), log(move + step), [log(emit[0] + PRIOR), log(emit[1] + shape)]
         going = np.arange(STATES)
         self.start[going % 2 == 1] = -np.inf
         for s in range(STATES):
@@ -127,31 +146,45 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Counts of starts, moves and emissions over all rows of (transcript, states)."""
+def counted(labelled: DataFrame, fold: str | None = None) -> dict[int, np.ndarray]:
+    """Counts of starts, moves and emissions over all rows of (transcript, states), end to end, by the value of a column (0 without one)."""
+    rows = labelled.select("transcript", "states", (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
 
     def run(batch: pa.RecordBatch):
-        start, move, emit = np.zeros(STATES, np.int64), np.zeros((STATES, STATES), np.int64), [np.zeros((STATES, v), np.int64) for v in FEATURES]
-        for text, states in zip(batch.column("transcript").to_pylist(), batch.column("states").to_pylist()):
-            s, o = np.array(states, np.int64), features(text)
-            known = s >= 0
-            if len(s) and known[0]:
-                start[s[0]] += 1
-            pair = known[1:] & known[:-1]
-            np.add.at(move, (s[:-1][pair], s[1:][pair]), 1)
-            for k, e in enumerate(emit):
-                np.add.at(e, (s[known], o[known, k]), 1)
-        every = np.concatenate([start, move.ravel(), *[e.ravel() for e in emit]])
-        yield {"i": np.arange(len(every)), "c": every}
-
-    size = [STATES, STATES * STATES, *[STATES * v for v in FEATURES]]
-    every = np.zeros(sum(size))
-    for i, c in arrow_map(labelled.select("transcript", "states"), run, "i int, c long").groupBy("i").agg(F.sum("c")).collect():
-        every[i] = c
-    start, move, *emit = np.split(every, np.cumsum(size)[:-1])
+        for f in sorted(set(batch.column("fold").to_pylist())):
+            some = batch.filter(pc.equal(batch.column("fold"), f))
+            start, move, emit = np.zeros(STATES, np.int64), np.zeros((STATES, STATES), np.int64), [np.zeros((STATES, v), np.int64) for v in FEATURES]
+            for text, states in zip(some.column("transcript").to_pylist(), some.column("states").to_pylist()):
+                s, o = np.array(states, np.int64), features(text)
+                known = s >= 0
+                if len(s) and known[0]:
+                    start[s[0]] += 1
+                pair = known[1:] & known[:-1]
+                np.add.at(move, (s[:-1][pair], s[1:][pair]), 1)
+                for k, e in enumerate(emit):
+                    np.add.at(e, (s[known], o[known, k]), 1)
+            every = np.concatenate([start, move.ravel(), *[e.ravel() for e in emit]])
+            yield {"fold": np.full(len(every), f), "i": np.arange(len(every)), "c": every}
+
+    out: dict[int, np.ndarray] = {}
+    for f, i, c in arrow_map(rows, run, "fold int, i int, c long").groupBy("fold", "i").agg(F.sum("c")).collect():  # a few hundred numbers a fold
+        out.setdefault(f, np.zeros(sum(SIZES)))[i] = c
+    return out
+
+
+SIZES = [STATES, STATES * STATES, *[STATES * v for v in FEATURES]]
+
+
+def model_of(counts: np.ndarray) -> Model:
+    start, move, *emit = np.split(counts, np.cumsum(SIZES)[:-1])
     return Model(start, move.reshape(STATES, STATES), [e.reshape(STATES, -1) for e in emit])
 
 
+def fit(labelled: DataFrame) -> Model:
+    """The model of all rows of (transcript, states); lines without a state (-1) don't count."""
+    return model_of(counted(labelled).get(0, np.zeros(sum(SIZES))))
+
+
 def turns_of(text: str, states: np.ndarray) -> list[tuple[str, str]]:
     """(role, content): lines from one turn's beginning to the next, without markers and the blank lines around them."""
     out: list[tuple[str, list[str]]] = []
@@ -170,19 +203,25 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|im_start|>{role}\n{safe(text)}<|im_end|>\n" for role, text in turns)
 
 
-def formatted(transcripts: DataFrame, model: Model, id_col: str = "conv_id", text_col: str = "transcript") -> DataFrame:
-    """conv_id, n_turns, roles, rendered.
+def formatted(transcripts: DataFrame, model: Model | list[Model], id_col: str = "conv_id", text_col: str = "transcript", fold: str | None = None) -> DataFrame:
+    """conv_id, n_turns, roles, rendered. With a list of models, each row is read by the one that its column ``fold`` gives the place of.
 
     Null or blank transcript: no turns and the empty string. Null ids and repeated rows are kept, one row out for one in. Very
     long transcripts are read whole. Equal likelihoods go to the first role in ROLES. Other columns are ignored.
     """
-    rows = transcripts.select(F.col(id_col).cast("long").alias("conv_id"), F.col(text_col).alias("__text"))
+    rows = transcripts.select(F.col(id_col).cast("long").alias("conv_id"), F.col(text_col).alias("__text"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
+    models = model if isinstance(model, list) else [model]
 
     def run(batch: pa.RecordBatch):
-        texts = [t if t and t.strip() else "" for t in batch.column("__text").to_pylist()]
+        texts, folds = [t if t and t.strip() else "" for t in batch.column("__text").to_pylist()], batch.column("fold").to_numpy()
         for i in range(0, len(texts), 512):
-            some = texts[i : i + 512]
-            paths = model.viterbi([features(t) if t else np.zeros((0, len(FEATURES)), np.int64) for t in some])
+            some, of = texts[i : i + 512], folds[i : i + 512]
+            seen = [features(t) if t else np.zeros((0, len(FEATURES)), np.int64) for t in some]
+            paths: list = [None] * len(some)
+            for f in np.unique(of):
+                mine = np.flatnonzero(of == f)
+                for n, path in zip(mine, models[f].viterbi([seen[n] for n in mine])):
+                    paths[n] = path
             found = [turns_of(t, p) if t else [] for t, p in zip(some, paths)]
             yield {"conv_id": batch.column("conv_id").slice(i, 512), "n_turns": [len(f) for f in found], "roles": [[r for r, _ in f] for f in found], "rendered": [render(f) for f in found]}
 
@@ -190,8 +229,11 @@ def formatted(transcripts: DataFrame, model: Model, id_col: str = "conv_id", tex
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every conversation written as a raw transcript, its roles recovered from the text alone, and rendered."""
+    """Every conversation written as a raw transcript, its roles recovered from the text alone, and rendered. Each of FOLDS parts (by a hash of the id) is read
+    by the model of the other parts' labels, so no transcript is decoded by counts of its own."""
     from .common import stored, table
 
-    raw = stored(written(table(spark, sf_dir, "conversations")), "transcripts")
-    return formatted(raw, fit(raw))
+    raw = stored(written(table(spark, sf_dir, "conversations")).withColumn("fold", F.pmod(F.xxhash64("conv_id"), F.lit(FOLDS)).cast("int")), "transcripts")
+    counts = counted(raw, "fold")
+    total = sum(counts.values(), np.zeros(sum(SIZES)))
+    return formatted(raw, [model_of(total - counts.get(f, 0)) for f in range(FOLDS)], fold="fold")

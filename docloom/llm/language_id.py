@@ -2,9 +2,10 @@
 
 The network reads UTF-8 bytes in windows of ``WINDOW``; one pass runs forwards, one backwards, and a linear layer over both
 states labels every byte with a language or ``und`` (no language). A document's probabilities are the means over all its
-bytes. Training is backpropagation through time in numpy with Adam, on a bounded sample of labelled rows: at most
-``ROWS_PER_LANGUAGE`` documents of each value of the label column (those least in a hash of the id), ``WINDOWS_PER_ROW``
-windows of each, and half as many noise windows for ``und`` as an average language has.
+bytes; the state begins anew in each window. Training is backpropagation through time in numpy with Adam, on a bounded sample of
+labelled rows: at most ``ROWS_PER_LANGUAGE`` documents of each value of the label column (those least in a hash of the id), all of their
+windows, and half as many noise windows for ``und`` as an average language has (besides the rows labelled ``und``). ``WORKERS`` tasks train on a
+share of the sample each, and their weights are averaged after each of ``ROUNDS`` rounds, so the driver holds weights alone.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_and_text, lists, map_batches
+from .common import arrow_map, id_and_text, lists, map_batches, stored
 from .textkernel import runs, utf8
 
 WINDOW = 64
 HIDDEN = 12
 PAD = 256
 ROWS_PER_LANGUAGE = 400
-WINDOWS_PER_ROW = 8
 STEPS = 400
+BROADCAST_ROWS = 100_000
+WORKERS = 4
+ROUNDS = 4
 BATCH = 256
 UNKNOWN = "und"
 REJECT = 0.8
@@ -138,7 +141,7 @@ class Network:
         g["w"] = np.einsum("tcn,tsn->cs", p, flat, optimize=True)
         g["b"] = p.sum((0, 2))[:, None]
         dstates = np.matmul(self.p["w"].T, p).reshape(T, 2, h, N)
-        gx = np.zeros((2, 257, 3 * h), np.float32)
+        every = np.empty((2, T, 3 * h, N), np.float32)
         ds = np.zeros((2, h, N), np.float32)
         ut = u.transpose(0, 2, 1)
         for t in range(T - 1, -1, -1):
@@ -153,17 +156,19 @@ class Network:
             dr = np.concatenate([dgate, dq], 1)
             g["u"] += np.matmul(dr, s.transpose(0, 2, 1))
             g["c"] += dq.sum(2, keepdims=True)
-            for d, row in ((0, bytes_[t]), (1, bytes_[T - 1 - t])):
-                order = np.argsort(row, kind="stable")
-                values = row[order]
-                cut = np.flatnonzero(np.r_[True, np.diff(values) != 0])
-                gx[d, values[cut]] += np.add.reduceat(da[d].T[order], cut, 0)
+            every[0, t], every[1, T - 1 - t] = da[0], da[1]
             ds = ds * z + np.matmul(ut, dr)
+        row = bytes_.ravel()
+        order = np.argsort(row, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(row[order]) != 0])
+        gx = np.zeros((2, 257, 3 * h), np.float32)
+        for d in (0, 1):
+            gx[d, row[order][cut]] = np.add.reduceat(every[d].transpose(0, 2, 1).reshape(T * N, 3 * h)[order], cut, 0)
         g["x"] = gx.transpose(0, 2, 1)
         return g, loss
 
-    def fit(self, windows: np.ndarray, target: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 11, rate: float = 0.03) -> float:
-        """windows: (M, T) bytes, target: (M,) label numbers. Adam with a falling rate; gives the last steps' mean loss."""
+    def fit(self, windows: np.ndarray, target: np.ndarray, steps: int = STEPS, batch: int = BATCH, seed: int = 11, rate: float = 0.03, done: int = 0, total: int | None = None) -> float:
+        """windows: (M, T) bytes, target: (M,) label numbers. Adam with a falling rate, these being the steps after ``done`` of total; gives the last steps' mean loss."""
         rng = np.random.default_rng(seed)
         m1 = {k: np.zeros_like(v) for k, v in self.p.items()}
         m2 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -173,7 +178,7 @@ class Network:
             g, loss = self.gradients(np.ascontiguousarray(windows[pick].T), target[pick])
             losses.append(loss)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-            lr = rate * min(1, i / 10) * (1 - 0.95 * i / steps)
+            lr = rate * min(1, i / 10) * (1 - 0.95 * (done + i) / (total or steps))
             for k, v in g.items():
                 v = v * min(1, 1 / (norm + 1e-9))
                 m1[k] = 0.9 * m1[k] + 0.1 * v
@@ -200,8 +205,8 @@ class Network:
             p = self.probabilities(self.fast_states(block))
             p *= valid[:, None]
             sums[i : i + group] = p.sum(0).T
-            best = p.max(1, keepdims=True)
-            labels[i : i + group] = ((p == best) & (best > 0)).sum(0).T
+            best = np.where(valid, p.argmax(1), C)
+            labels[i : i + group] = np.stack([(best == c).sum(0) for c in range(C)], 1)
         total = np.zeros((len(sizes), C))
         seen = np.zeros((len(sizes), C), np.int64)
         some = np.flatnonzero(count)
@@ -226,46 +231,65 @@ def noise(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.choose(kind[:, None], kinds).astype(np.int16)
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
-    """Rows (lang, windows): the bounded training sample."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = [r[0] for r in rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(f"k <= {ROWS_PER_LANGUAGE}").select("id").distinct().collect()]
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """lang, text of the bounded training sample: rows with an id, a label and a text, the least in a hash of the id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL AND text <> ''")
+    key = rows.select("id", "lang", F.xxhash64("text").alias("t"))
+    ids = stored(key.withColumn("k", F.row_number().over(order_of("t"))).where(f"k <= {ROWS_PER_LANGUAGE}").select("id", "lang", "t").distinct(), "sampled")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return stored(rows.withColumn("t", F.xxhash64("text")).join(few, ["id", "lang", "t"], "left_semi"), "sample")
 
-    def cut(batch: pa.RecordBatch):
-        raw, offsets = utf8(batch.column("text"))
-        out, langs, keys = [], [], []
-        for i, (key, lang) in enumerate(zip(batch.column("id").to_pylist(), batch.column("lang").to_pylist())):
-            one = raw[offsets[i] : offsets[i + 1]]
-            if not len(one):
-                continue
-            rng = np.random.default_rng(key & 0xFFFFFFFF)
-            n = min(WINDOWS_PER_ROW, -(-len(one) // WINDOW))
-            for s in rng.integers(0, max(1, len(one) - WINDOW + 1), n):
-                out.append(one[s : s + WINDOW].tobytes())
-                langs.append(lang)
-                keys.append(key)
-        yield {"id": keys, "lang": langs, "w": out}
-
-    return [] if not ids else sorted(arrow_map(rows.where(F.col("id").isin(ids)), cut, "id long, lang string, w binary").collect())
+
+def order_of(text_hash: str):
+    return Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", text_hash)
+
+
+def windows_of(texts: list[str]) -> np.ndarray:
+    """All windows of some texts; the last of each is padded."""
+    raw, offsets = utf8(pa.array(texts, pa.large_string()))
+    count = -(-np.diff(offsets) // WINDOW)
+    start = np.repeat(offsets[:-1], count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+    at = start[:, None] + np.arange(WINDOW)
+    padded = np.concatenate([raw.astype(np.int16), np.full(WINDOW, PAD, np.int16)])
+    return np.where(at < np.repeat(offsets[1:], count)[:, None], padded[at], PAD).astype(np.int16)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """None where no row has a label and a text."""
     rows = sample(docs, id_col, text_col, lang_col)
-    if not rows:
+    labels = sorted({r[0] for r in rows.select("lang").distinct().collect()} - {UNKNOWN})
+    if not labels and rows.isEmpty():
         return None
-    labels = sorted({r.lang for r in rows} - {UNKNOWN})
-    windows = np.full((len(rows), WINDOW), PAD, np.int16)
-    for i, r in enumerate(rows):
-        windows[i, : len(r.w)] = np.frombuffer(bytes(r.w), np.uint8)
-    number = {x: i for i, x in enumerate([*labels, UNKNOWN])}
-    target = np.array([number[r.lang] for r in rows])
-    each = max(64, len(rows) // max(1, len(labels)))
-    pick = np.concatenate([np.resize(np.flatnonzero(target == i), each) for i in range(len(labels)) if (target == i).any()] or [np.zeros(0, int)])
-    false = noise(each // 2, np.random.default_rng(5))
     net = Network([*labels, UNKNOWN])
-    net.fit(np.concatenate([windows[pick], false]), np.concatenate([target[pick], np.full(len(false), len(labels))]))
+    number = {x: i for i, x in enumerate(net.labels)}
+    share = rows.withColumn("worker", F.pmod(F.xxhash64("t", "id"), F.lit(WORKERS)).cast("int")).repartition(WORKERS, "worker").sortWithinPartitions("worker", "id", "t")
+    steps = STEPS // ROUNDS // 2
+    for done in range(ROUNDS):
+        weights = {k: v.copy() for k, v in net.p.items()}
+
+        def learn(batches):
+            texts: list[str] = []
+            langs: list[str] = []
+            for batch in batches:
+                texts += batch.column("text").to_pylist()
+                langs += batch.column("lang").to_pylist()
+            if not texts:
+                return
+            rng = np.random.default_rng([5, done, len(texts)])
+            some = {x: windows_of([t for t, own in zip(texts, langs) if own == x]) for x in sorted(set(langs))}
+            each = max(64, sum(map(len, some.values())) // len(some))
+            picked = [(w[rng.integers(0, len(w), each)], number[x]) for x, w in some.items()] + [(noise(each // 2, rng), len(labels))]
+            mine = Network(net.labels)
+            mine.p = {k: v.copy() for k, v in weights.items()}
+            mine.fit(np.concatenate([w for w, _ in picked]), np.concatenate([np.full(len(w), n) for w, n in picked]), steps, seed=11 + done, done=done * steps, total=ROUNDS * steps)
+            flat = np.concatenate([mine.p[k].ravel() for k in sorted(mine.p)]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary())], names=["w"])
+
+        found = [np.frombuffer(r[0], np.float32) for r in map_batches(share.select("text", "lang"), learn, "w binary").collect()]
+        mean, at = np.mean(found, 0), 0
+        for k in sorted(net.p):
+            net.p[k] = mean[at : at + net.p[k].size].reshape(net.p[k].shape).astype(np.float32)
+            at += net.p[k].size
     return net
 
 
@@ -274,7 +298,8 @@ def predictions(docs: DataFrame, net: Network | None, id_col: str = "doc_id", te
 
     Null, empty and blank texts: ``und`` with probability 1, not accepted. A document is accepted unless the
     pooled probability of ``und`` reaches ``REJECT``. Without a network (no labelled rows) the label is null and every document is accepted.
-    Rows without id are left out; repeated rows are labelled each.
+    Rows without id are left out; repeated rows are labelled each; very long texts are read whole; an empty table gives no rows. Of
+    equal probabilities the first label in the alphabet counts (``und`` last), for a byte as for a document.
     """
     rows = id_and_text(docs, id_col, text_col)
 
@@ -313,7 +338,11 @@ def judge(net: Network | None, raw: np.ndarray, offsets: np.ndarray):
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, unchanged, whose language is found; those that predictions() doesn't accept go. Rows without id are judged too."""
+    """The rows of docs, unchanged, whose language is found; those that predictions() doesn't accept go.
+
+    Null, empty and blank texts go. Rows without id are judged too, repeated rows each for itself; very long texts are read whole. A probability of ``und`` of exactly
+    ``REJECT`` goes. An empty table gives none; without labelled rows all rows stay. All columns are kept, whatever their names.
+    """
     net = train(docs, id_col, text_col, lang_col)
 
     def run(batches):

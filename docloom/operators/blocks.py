@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,51 +43,55 @@ def number_blocks(rows: DataFrame, key: str, order: str, kind: str) -> DataFrame
     return rows.withColumn("block_id", name)
 
 
-def _strings() -> Column:
-    return F.array().cast("array<string>")
-
-
-def _state(done: Column, cur: Column, n: Column) -> Column:
-    return F.struct(done.alias("done"), cur.alias("cur"), n.cast("int").alias("n"))
+def number_together(rows: DataFrame, key: str, order: str, kind: str) -> DataFrame:
+    """block_id as paged documents have it: texts by their place among all blocks, tables by their place among tables."""
+    n, t = F.sum(F.lit(1)).over(_upto([key], order)), F.sum(F.lit(1)).over(_upto([key, kind], order))
+    name = F.when(F.col(kind) == "table", F.format_string("%s_tbl_%03d", F.col(key).cast("string"), t)).otherwise(F.format_string("%s_b%03d", F.col(key).cast("string"), n))
+    return rows.withColumn("block_id", name)
 
 
-def _packed(t: Column, step) -> Column:
-    return F.aggregate(F.split(t, "\n", -1), _state(_strings(), _strings(), F.lit(0)), step, lambda s: F.array_append(s["done"], F.array_join(s["cur"], "\n")))
+def _strings() -> Column:
+    return F.array().cast("array<string>")
 
 
 def pack_lines(t: Column, limit: int = MAX_CHUNK) -> Column:
-    """Greedy chunks of whole lines: a line that would pass the limit begins the next chunk; one longer than it stays whole."""
+    """Greedy chunks of whole lines: a line that would pass the limit begins the next chunk; one longer than it stays whole.
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] + F.length(x) > limit) & (F.size(s["cur"]) > 0)
-        return _state(
-            F.when(full, F.array_append(s["done"], F.array_join(s["cur"], "\n"))).otherwise(s["done"]), F.when(full, F.array(x)).otherwise(F.array_append(s["cur"], x)), F.when(full, 0).otherwise(s["n"]) + F.length(x) + 1
-        )
+    A text is one pass over its lines in Arrow batches: folding arrays in the JVM would copy what is packed at every line.
+    """
 
-    return _packed(t, step)
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else packed_lines(x, limit))
 
+    return packed(t)
 
-def tail_lines(lines: Column, overlap: int) -> Column:
-    """The last lines whose lengths sum to at most overlap, and that sum."""
 
-    def step(s: Column, x: Column) -> Column:
-        go = ~s["stop"] & (s["n"] + F.length(x) <= overlap)
-        return F.struct(F.when(go, F.concat(F.array(x), s["kept"])).otherwise(s["kept"]).alias("kept"), F.when(go, s["n"] + F.length(x)).otherwise(s["n"]).cast("int").alias("n"), (~go).alias("stop"))
+def pack_overlapping(t: Column, limit: int, overlap: int = OVERLAP_CHARS) -> Column:
+    """Chunks of whole lines of at most limit characters, line ends counted, each begun with the last lines of the one before, of overlap characters at most."""
 
-    return F.aggregate(F.reverse(lines), F.struct(_strings().alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("stop")), step)
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else packed_lines(x, limit, overlap))
 
+    return packed(t)
 
-def pack_overlapping(t: Column, limit: int, overlap: int = OVERLAP_CHARS) -> Column:
-    """Chunks of whole lines of at most limit characters, line ends counted, each begun with the last lines of the one before."""
 
-    def step(s: Column, x: Column) -> Column:
-        full = (s["n"] + F.length(x) + 1 > limit) & (F.size(s["cur"]) > 0)
-        tail = tail_lines(s["cur"], overlap)
-        return _state(
-            F.when(full, F.array_append(s["done"], F.array_join(s["cur"], "\n"))).otherwise(s["done"]), F.array_append(F.when(full, tail["kept"]).otherwise(s["cur"]), x), F.when(full, tail["n"]).otherwise(s["n"]) + F.length(x) + 1
-        )
-
-    return _packed(t, step)
+def packed_lines(text: str, limit: int, overlap: int | None = None) -> list[str]:
+    done: list[str] = []
+    cur: list[str] = []
+    n, end = 0, int(overlap is not None)
+    for line in text.split("\n"):
+        if cur and n + len(line) + end > limit:
+            done.append("\n".join(cur))
+            kept, n = len(cur), 0
+            while overlap is not None and kept and n + len(cur[kept - 1]) <= overlap:
+                kept -= 1
+                n += len(cur[kept])
+            cur = cur[kept:]
+        cur.append(line)
+        n += len(line) + 1
+    return [*done, "\n".join(cur)]
 
 
 def section_chunks(blocks: DataFrame, key: str = "doc_id", order: str = "ord", section: str = "section_path", text: str = "text", block: str = "block_id", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
@@ -97,7 +102,7 @@ def section_chunks(blocks: DataFrame, key: str = "doc_id", order: str = "ord", s
     item = F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(block).alias("b"))
     joined = runs.groupBy(key, "run").agg(F.first("label").alias("label"), F.min(order).alias("at"), F.array_sort(F.collect_list(F.when(visible, item))).alias("x"))
     full = joined.withColumn("full", F.array_join(F.transform("x", lambda i: i["t"]), "\n")).where(F.length("full") >= least)
-    parts = full.select(key, "run", "label", F.transform("x", lambda i: i["b"]).alias("block_ids"), F.posexplode(F.when(F.length("full") > most, pack_lines(F.col("full"), most)).otherwise(F.array("full"))).alias("i", "text"))
+    parts = full.select(key, "run", "label", F.transform("x", lambda i: i["b"]).alias("block_ids"), F.posexplode(F.coalesce(pack_lines(F.when(F.length("full") > most, F.col("full")), most), F.array("full"))).alias("i", "text"))
     return parts.select(
         F.col(key).alias("doc_id"), (F.row_number().over(Window.partitionBy(key).orderBy("run", "i")) - 1).alias("chunk_no"),
         F.when(F.col("i") > 0, F.concat("label", F.lit("#"), F.col("i").cast("string"))).otherwise(F.col("label")).alias("section_path"),
@@ -197,21 +202,51 @@ def prompt_text(kind: Column, content: Column, level: Column, rows: Column, ocr:
     )
 
 
-def block_html(kind: Column, block: Column, content: Column, level: Column, rows: Column, ocr: Column, meta: Column) -> Column:
+def as_cells(cells: Column) -> Column:
+    """Plain strings as cells that span nothing."""
+    return F.transform(cells, lambda v: F.struct(v.alias("value"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan")))
+
+
+def block_html(kind: Column, block: Column, content: Column, level: Column, rows: Column, ocr: Column, meta: Column, image: Column | None = None) -> Column:
+    """rows: row_type and cells of value, colspan and rowspan. image: the address of the block's picture, null where there is none."""
     tag = F.when(level > 0, F.concat(F.lit("h"), level.cast("string"))).otherwise("p")
     body = F.concat(F.lit("<"), tag, F.lit(">"), T.html_escape(content), F.lit("</"), tag, F.lit(">"))
 
+    def span(name: str, n: Column) -> Column:
+        return F.when(n > 1, F.format_string(f' {name}="%d"', n)).otherwise("")
+
     def line(r: Column) -> Column:
         c = F.when(r["row_type"] == "header", "th").otherwise("td")
-        cells = F.array_join(F.transform(r["cells"], lambda x: F.concat(F.lit("<"), c, F.lit(">"), T.html_escape(x), F.lit("</"), c, F.lit(">"))), "")
-        return F.concat(F.lit('<tr class="'), r["row_type"], F.lit('">'), cells, F.lit("</tr>"))
+        cell = lambda x: F.concat(F.lit("<"), c, span("colspan", x["colspan"]), span("rowspan", x["rowspan"]), F.lit(">"), T.html_escape(x["value"]), F.lit("</"), c, F.lit(">"))
+        return F.concat(F.lit('<tr class="'), T.html_escape(r["row_type"]), F.lit('">'), F.array_join(F.transform(r["cells"], cell), ""), F.lit("</tr>"))
 
     table = F.concat(F.lit("<table>"), F.array_join(F.transform(rows, line), ""), F.lit("</table>"))
-    image = F.when(ocr != "", F.concat(F.lit('<pre class="ocr-text">'), T.html_escape(ocr), F.lit("</pre>"))).otherwise("")
-    inner = F.when(kind == "text", body).when(kind == "table", table).otherwise(image)
+    shown = F.lit("") if image is None else F.coalesce(F.concat(F.lit('<img src="'), T.html_escape(image), F.lit('" alt="'), T.html_escape(block), F.lit('" />')), F.lit(""))
+    picture = F.concat(shown, F.when(ocr != "", F.concat(F.lit('<pre class="ocr-text">'), T.html_escape(ocr), F.lit("</pre>"))).otherwise(""))
+    inner = F.when(kind == "text", body).when(kind == "table", table).otherwise(picture)
     return F.concat(F.lit('<section class="block '), kind, F.lit('-block" data-block-id="'), T.html_escape(block), F.lit('"><div class="block-meta">'), meta, F.lit("</div>"), inner, F.lit("</section>"))
 
 
+def of_kind(blocks: Column, kind: str) -> Column:
+    """The blocks of one kind of an array of blocks, in their order."""
+    return F.filter(blocks, lambda b: b["type"] == kind)
+
+
+def rows_of(rows: Column, kind: str) -> Column:
+    """The rows of one kind of a table: headers, data, ..."""
+    return F.filter(rows, lambda r: r["row_type"] == kind)
+
+
+def header_of(rows: Column) -> Column:
+    """Cells of a table's first header row; null where it has none."""
+    return F.get(rows_of(rows, "header"), F.lit(0))["cells"]
+
+
+def merge_repeated(cells: Column) -> Column:
+    """Of cells (id, value) that follow one another with one id the first: a merged cell is listed once for each column that it covers."""
+    return F.filter(cells, lambda c, i: (i == 0) | ~c["id"].eqNullSafe(F.get(cells, i - 1)["id"]))
+
+
 def pick_blocks(blocks: DataFrame, wanted: list[str] | None, block: str = "block_id") -> DataFrame:
     """Blocks whose id one of the comma-separated lists names; all where none names any."""
     ids = {i.strip() for w in wanted or [] for i in w.split(",")} - {""}

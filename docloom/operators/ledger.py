@@ -27,8 +27,8 @@ def stage_speed(metrics: DataFrame) -> DataFrame:
 
 
 def recent_errors(usage: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
-    """What failed after as_of - hours (strictly)."""
-    return usage.where((F.col("status") != "success") & (F.col("ts") > as_of - F.expr(f"INTERVAL {hours} HOURS")))
+    """What failed after as_of - hours (strictly), the latest first."""
+    return usage.where((F.col("status") != "success") & (F.col("ts") > as_of - F.expr(f"INTERVAL {hours} HOURS"))).orderBy(F.desc("ts"))
 
 
 def collection_total(usage: DataFrame, collections: DataFrame) -> DataFrame:
@@ -78,8 +78,42 @@ def violations(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counted.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules])).alias("x")).select("x.rule", "x.n")
 
 
+SPAN = 1 << 16
+
+
 def next_free(existing: DataFrame, wanted: int, prefix: str = "user_doc_") -> DataFrame:
-    """The wanted least numbers from 1 that no id of existing (prefix and digits) has, as ids."""
-    used = existing.select(F.regexp_extract("id", f"^{prefix}(\\d+)$", 1).try_cast("int").alias("n")).where("n > 0").distinct()
-    top = existing.sparkSession.range(1, 2).crossJoin(used.agg(F.count("*").alias("c"))).select(F.explode(F.sequence(F.lit(1), (F.col("c") + wanted).cast("int"))).alias("n"))
-    return top.join(used, "n", "left_anti").orderBy("n").limit(wanted).select("n", F.format_string(f"{prefix}%03d", "n").alias("id"))
+    """The wanted least numbers from 1 that no id of existing (prefix and digits) has, as ids.
+
+    Numbers are counted by spans of SPAN; only the first spans that have enough free ones are listed number by number.
+    """
+    used = existing.select(F.regexp_extract("id", f"^{prefix}(\\d+)$", 1).try_cast("long").alias("n")).where("n > 0").distinct().withColumn("span", F.floor((F.col("n") - 1) / SPAN))
+    taken = used.groupBy("span").agg(F.count("*").alias("taken"))
+    spans = existing.sparkSession.range(1).crossJoin(F.broadcast(taken.agg(F.coalesce(F.max("span"), F.lit(-1)).alias("last")))).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") + 1 + wanted // SPAN)).alias("span"))
+    free = spans.join(taken, "span", "left").select("span", (F.lit(SPAN) - F.coalesce("taken", F.lit(0))).alias("free")).where("free > 0")
+    before = F.coalesce(F.sum("free").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = free.withColumn("before", before).where(F.col("before") < wanted).select("span")
+    numbers = first.select("span", F.explode(F.sequence(F.col("span") * SPAN + 1, (F.col("span") + 1) * SPAN)).alias("n"))
+    return numbers.join(used.select("n"), "n", "left_anti").orderBy("n").limit(wanted).select(F.col("n").cast("int").alias("n"), F.format_string(f"{prefix}%03d", "n").alias("id"))
+
+
+def update(current: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """current with the columns of changes (unique keys) where there is one; a change without a row to change is lost, as an update's is."""
+    n = changes.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__new"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return current.join(n, on, "left").select(*[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns])
+
+
+def parsed(documents: DataFrame, changes: DataFrame, at) -> DataFrame:
+    """Documents after reading: changes has tender_id, doc_id and what was counted. The status becomes parsed."""
+    counted = ["text_blocks_count", "tables_count", "images_count", "total_pages", "estimated_tokens", "parse_duration_ms", "conversion_duration_ms"]
+    done = changes.withColumn("parse_status", F.lit("parsed")).withColumn("parsed_at", at)
+    return update(documents, done, ["tender_id", "doc_id"], ["parse_status", *counted, "parsed_at"])
+
+
+def parse_failed(documents: DataFrame, failed: DataFrame, status: str = "failed") -> DataFrame:
+    return update(documents, failed.withColumn("parse_status", F.lit(status)), ["tender_id", "doc_id"], ["parse_status"])
+
+
+def collections_or_fallback(first: DataFrame, second: DataFrame, collection: str) -> DataFrame:
+    """Of each collection the rows of first if it has any there, else those of second: a list that is empty falls back whole."""
+    return or_fallback(first, second, [collection])

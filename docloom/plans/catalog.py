@@ -12,6 +12,7 @@ from docloom.operators import blocks as B
 from docloom.operators import ledger as L
 from docloom.operators import retrieval as R
 from docloom.sources import adapters as A
+from docloom.sources.schemas import ROWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -148,7 +149,8 @@ def fk_orphans(spark, sf_dir):
 
 @query(f"WITH {A.NUMBERED_LINES} SELECT doc_id, CAST(pos AS INT) AS pos, sec AS section FROM nums WHERE sec IS NOT NULL")
 def section_number(spark, sf_dir):
-    return A.numbered_lines(spark, sf_dir).select("doc_id", "pos", T.section_number(F.col("line")).alias("section")).where("section IS NOT NULL")
+    numbered = A.numbered_lines(spark, sf_dir).where(F.col("line").rlike(r"(?U)^\s*\p{Nd}+(?:[.]\p{Nd}+)*[\s.)]"))  # the cheap test first: the number itself is cut out of few lines
+    return numbered.select("doc_id", "pos", T.section_number(F.col("line")).alias("section")).where(F.col("line").isNotNull() & T.section_number(F.col("line")).isNotNull())
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\r\n]', ' ', 'g'), ' {2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS cleaned FROM documents")
@@ -166,7 +168,8 @@ def tokenize(spark, sf_dir):
 
 @query(f"WITH t AS (SELECT doc_id, {_TOKENS.format('text')} AS tokens FROM documents) SELECT doc_id, tokens, CAST(len(tokens) AS INT) AS n_tokens FROM t WHERE len(tokens) > 0")
 def bm25_corpus(spark, sf_dir):
-    return A.load(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens")).where("n_tokens > 0")
+    some = A.load(spark, sf_dir, "documents").where(T.has_tokens(F.col("text")))
+    return some.select("doc_id", T.tokens(F.col("text")).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
 
 
 _TOK = "CAST(trunc(length(text) / CAST(2.7 AS DOUBLE)) AS INT)"
@@ -222,10 +225,10 @@ def _in(names):
 
 @query(f"""WITH e AS (SELECT p_partkey, {_EXT_SQL} AS ext FROM (SELECT p_partkey, {_NAME_SQL} AS name FROM part))
   SELECT p_partkey, CASE WHEN ext IN {_in(T.ARCHIVES)} THEN 'archive' WHEN ext IN {_in(T.NATIVE + T.CONVERTED + T.UNPARSED)} THEN 'document' ELSE 'ignored' END AS class,
-  CASE WHEN ext IN {_in(T.NATIVE)} THEN substr(ext, 2) WHEN ext IN ('.doc', '.odt', '.rtf') THEN 'docx' WHEN ext IN ('.xls', '.ods') THEN 'xlsx' WHEN ext IN ('.ppt', '.odp', '.pptx') THEN 'pdf' ELSE 'unsupported' END AS parser FROM e""")
+  CASE WHEN ext IN {_in(T.NATIVE)} THEN substr(ext, 2) WHEN ext IN ('.doc', '.odt', '.rtf') THEN 'docx' WHEN ext IN ('.xls', '.ods') THEN 'xlsx' WHEN ext IN ('.ppt', '.odp', '.pptx') THEN 'pdf' ELSE 'unsupported' END AS reader FROM e""")
 def ext_classify(spark, sf_dir):
     e = T.extension(F.col("name"))
-    return _file_names(spark, sf_dir).select("p_partkey", T.extension_class(e).alias("class"), T.route(e).alias("parser"))
+    return _file_names(spark, sf_dir).select("p_partkey", T.extension_class(e).alias("class"), T.route(e).alias("reader"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' WHEN 2 THEN '.emf' ELSE '.png' END AS ext FROM part")
@@ -278,10 +281,11 @@ def block_ids(spark, sf_dir):
     return B.number_blocks(k, "doc_id", "pos", "kind")
 
 
-@query("""WITH u AS (SELECT DISTINCT CAST(p_partkey AS INT) AS n FROM part WHERE p_partkey % 3 <> 0), f AS (SELECT unnest(generate_series(1, (SELECT count(*) FROM u) + 25))::INT AS n)
-  SELECT n, printf('user_doc_%03d', n) AS id FROM f WHERE n NOT IN (SELECT n FROM u) ORDER BY n LIMIT 25""")
+@query("""WITH u AS (SELECT DISTINCT l_orderkey AS n FROM lineitem), f AS (SELECT unnest(generate_series(1, (SELECT count(*) FROM u) + 25)) AS n)
+  SELECT n::INT AS n, printf('user_doc_%03d', n) AS id FROM f WHERE n NOT IN (SELECT n FROM u) ORDER BY n LIMIT 25""")
 def next_free_ids(spark, sf_dir):
-    ids = A.load(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.format_string("user_doc_%03d", "p_partkey").alias("id"))
+    """Orders without line items leave gaps among the numbers in use."""
+    ids = A.load(spark, sf_dir, "lineitem").select(F.format_string("user_doc_%03d", "l_orderkey").alias("id"))
     return L.next_free(ids, 25)
 
 
@@ -300,7 +304,16 @@ def line_packer(spark, sf_dir):
     return A.load(spark, sf_dir, "documents").select("doc_id", F.posexplode(B.pack_lines(F.col("text"))).alias("chunk_no", "chunk"))
 
 
-@query()
+def _overlap_sql(t, limit, overlap):
+    full = f"s.n + x.n + 1 > {limit} AND len(s.cur) > 0"
+    kept = f"len(list_filter(range(1, len(s.cur) + 1), lambda j: list_sum(list_transform(s.cur[len(s.cur) - j + 1:], lambda y: length(y))) <= {overlap}))"
+    tail = f"s.cur[len(s.cur) - {kept} + 1:]"
+    return f"""list_reduce({_PACK_ONE.format(t=t)}, lambda s, x: CASE WHEN {full}
+      THEN {{'done': list_append(s.done, array_to_string(s.cur, chr(10))), 'cur': list_concat({tail}, x.cur), 'n': (coalesce(list_sum(list_transform({tail}, lambda y: length(y))), 0) + x.n + 1)::BIGINT}}
+      ELSE {{'done': s.done, 'cur': list_concat(s.cur, x.cur), 'n': s.n + x.n + 1}} END, {{'done': []::VARCHAR[], 'cur': []::VARCHAR[], 'n': 0::BIGINT}})"""
+
+
+@query(f"WITH p AS (SELECT doc_id, {_overlap_sql('text', int(600 * T.CHARS_PER_TOKEN), 200)} AS s FROM documents), c AS (SELECT doc_id, list_append(s.done, array_to_string(s.cur, chr(10))) AS chunks FROM p) SELECT doc_id, unnest(range(len(chunks)))::INT AS chunk_no, unnest(chunks) AS chunk FROM c")
 def overlap_packer(spark, sf_dir):
     return A.load(spark, sf_dir, "documents").select("doc_id", F.posexplode(B.pack_overlapping(F.col("text"), int(600 * T.CHARS_PER_TOKEN))).alias("chunk_no", "chunk"))
 
@@ -431,12 +444,30 @@ def table_stitch_sessions(spark, sf_dir):
     return s.groupBy("doc_id", "session").agg(F.min("ncols").alias("ncols"), F.min("seq").alias("first_seq"), F.count("*").alias("n_parts"))
 
 
-@query()
+def _stitch_sql(parts):
+    """The parts' rows folded into the first's: a repeated header goes, and a row that the next part goes on with is put together."""
+    more = "CASE WHEN len(p) > 1 AND list_transform(a[1], lambda c: trim(c)) = list_transform(p[1], lambda c: trim(c)) THEN p[2:] ELSE p END"
+    cell = "CASE WHEN a[-1][i] <> '' AND m[1][i] <> '' THEN trim(a[-1][i] || ' ' || m[1][i]) WHEN a[-1][i] <> '' THEN a[-1][i] ELSE m[1][i] END"
+    one = f"list_transform(range(1, len(m[1]) + 1), lambda i: {cell})"
+    joined = f"CASE WHEN len(a[-1]) = len(m[1]) AND len(list_filter(m[1], lambda c: c <> '')) > 0 THEN list_concat(list_append(a[1:len(a) - 1], {one}), m[2:]) ELSE list_concat(a, m) END"
+    return f"list_reduce({parts}, lambda a, p: list_transform([{more}], lambda m: {joined})[1])"
+
+
+_PART = "[list_transform(range(1, ncols + 1), lambda i: 'h' || i), list_transform(range(1, ncols + 1), lambda i: CASE WHEN i % 2 = 1 THEN 'c' || i ELSE seq::VARCHAR END)]"
+
+
+@query(f"""WITH {_ELEMENTS}, l AS (SELECT *, lag(kind) OVER w AS pk, lag(ncols) OVER w AS pn FROM el WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+  s AS (SELECT *, sum(CASE WHEN kind = 'table' AND NOT coalesce(pk = 'table' AND pn = ncols, false) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM l),
+  g AS (SELECT doc_id, session::BIGINT AS session, list({_PART} ORDER BY seq) AS parts FROM s WHERE kind = 'table' GROUP BY doc_id, session)
+  SELECT doc_id, session, {_stitch_sql('parts')} AS rows FROM g""")
 def table_stitch(spark, sf_dir):
     s = B.stitch_sessions(_elements(spark, sf_dir))
+    return B.stitch(s.withColumn("rows", _part_rows()), ["doc_id", "session"])
+
+
+def _part_rows():
     row = F.transform(F.sequence(F.lit(1), F.col("ncols")), lambda i: F.when(i % 2 == 1, F.concat(F.lit("c"), i.cast("string"))).otherwise(F.col("seq").cast("string")))
-    tables = s.withColumn("rows", F.array(F.transform(F.sequence(F.lit(1), F.col("ncols")), lambda i: F.concat(F.lit("h"), i.cast("string"))), row))
-    return B.stitch(tables, ["doc_id", "session"])
+    return F.array(F.transform(F.sequence(F.lit(1), F.col("ncols")), lambda i: F.concat(F.lit("h"), i.cast("string"))), row)
 
 
 @query(f"WITH {_ELEMENTS} SELECT doc_id, seq::INT AS seq, row_number() OVER (PARTITION BY doc_id ORDER BY (seq * 7) % 5, CASE kind WHEN 'text' THEN 0 ELSE 1 END, seq)::INT AS place FROM el")
@@ -502,7 +533,7 @@ _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'),
 def render_blocks(spark, sf_dir):
     page = F.floor(F.col("pos") / 10).cast("int") + 1
     b = _sections(spark, sf_dir).withColumns({"bid": F.format_string("%d_b%03d", "doc_id", F.col("pos") + 1), "page": page, "page_end": F.when(F.col("pos") % 10 == 9, page + 1).otherwise(page)})
-    none = F.lit(None).cast("array<struct<row_type:string,cells:array<string>>>")
+    none = F.lit(None).cast(ROWS)
     meta = T.metadata_line(F.col("bid"), F.col("page"), F.col("page_end"), F.col("sec"))
     return b.select("doc_id", "pos", B.block_html(F.lit("text"), F.col("bid"), F.col("line"), F.when(F.col("is_heading"), 2).otherwise(0), none, F.lit(None).cast("string"), meta).alias("html"))
 
@@ -528,18 +559,18 @@ def document_map(spark, sf_dir):
     return m.select("source", "n", F.col("p.doc_id").alias("doc_ids"), F.col("p.doc_type").alias("doc_types"))
 
 
-@query("""WITH ocr AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id % 2 = 0 GROUP BY doc_id)
-  SELECT d.doc_id, CASE WHEN ocr.doc_id IS NOT NULL THEN 'completed' ELSE 'skipped' END AS ocr_status, ocr.q::INT AS q FROM documents d LEFT JOIN ocr ON ocr.doc_id = d.doc_id WHERE d.doc_id % 3 = 0""")
+@query("""WITH ocr AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id)
+  SELECT d.doc_id, CASE WHEN ocr.doc_id IS NOT NULL THEN 'completed' ELSE 'skipped' END AS ocr_status, ocr.q::INT AS q FROM documents d LEFT JOIN ocr ON ocr.doc_id = d.doc_id""")
 def page_match_left(spark, sf_dir):
-    pages = A.load(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id")
-    found = A.load(spark, sf_dir, "labels").where("doc_id % 2 = 0").groupBy("doc_id").agg(F.max("quality").cast("int").alias("q"), F.lit(True).alias("hit"))
+    pages = A.load(spark, sf_dir, "documents").select("doc_id")
+    found = A.load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("int").alias("q"), F.lit(True).alias("hit"))
     return pages.join(found, "doc_id", "left").select("doc_id", F.when(F.col("hit"), "completed").otherwise("skipped").alias("ocr_status"), "q")
 
 
-@query("""WITH f AS (SELECT l_partkey, min(l_orderkey) AS k FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_partkey)
+@query("""WITH f AS (SELECT l_partkey, min(l_orderkey) AS k FROM lineitem GROUP BY l_partkey)
   SELECT p_partkey, k AS used_by, CASE WHEN k IS NULL THEN 'appended' ELSE 'inline' END AS place FROM part LEFT JOIN f ON l_partkey = p_partkey""")
 def consume_once(spark, sf_dir):
-    first = A.load(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_orderkey").alias("used_by"))
+    first = A.load(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_orderkey").alias("used_by"))
     return A.load(spark, sf_dir, "part").select("p_partkey").join(first, "p_partkey", "left").withColumn("place", F.when(F.col("used_by").isNull(), "appended").otherwise("inline"))
 
 
@@ -593,14 +624,16 @@ def redact_url(spark, sf_dir):
 
 # upserts and rules
 
-_CHANGES = """cur AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, CASE WHEN c_custkey % 4 = 0 THEN 'old error' END AS error FROM customer WHERE c_custkey % 3 <> 0),
-  chg AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) || '!' END AS name, CASE WHEN c_custkey % 7 = 0 THEN 'NEW' END AS segment, CASE WHEN c_custkey % 11 = 0 THEN 'new error' END AS error FROM customer WHERE c_custkey % 5 < 3)"""
+_CHANGES = """cur AS (SELECT s_suppkey AS k, s_name AS name, 'supplier' AS segment, CASE WHEN s_nationkey % 4 = 0 THEN 'old error' END AS error FROM supplier),
+  chg AS (SELECT c_nationkey * 7 AS k, CASE WHEN min(c_custkey) % 2 = 0 THEN upper(min(c_name)) || '!' END AS name, CASE WHEN count(*) % 2 = 0 THEN min(c_mktsegment) END AS segment, CASE WHEN count(*) % 3 = 0 THEN 'new error' END AS error FROM customer GROUP BY c_nationkey)"""
 
 
 def _changes(spark, sf_dir):
-    c, k = A.load(spark, sf_dir, "customer"), F.col("c_custkey")
-    current = c.where(k % 3 != 0).select(k.alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.when(k % 4 == 0, "old error").alias("error"))
-    changes = c.where(k % 5 < 3).select(k.alias("k"), F.when(k % 2 == 0, F.concat(F.upper("c_name"), F.lit("!"))).alias("name"), F.when(k % 7 == 0, "NEW").alias("segment"), F.when(k % 11 == 0, "new error").alias("error"))
+    """Suppliers, and changes drawn from the customers of each nation, some to suppliers that are there and some to new ones."""
+    s, c = A.load(spark, sf_dir, "supplier"), A.load(spark, sf_dir, "customer")
+    current = s.select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.lit("supplier").alias("segment"), F.when(F.col("s_nationkey") % 4 == 0, "old error").alias("error"))
+    n = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("first"), F.min("c_name").alias("name"), F.min("c_mktsegment").alias("segment"), F.count("*").alias("n"))
+    changes = n.select((F.col("c_nationkey").cast("long") * 7).alias("k"), F.when(F.col("first") % 2 == 0, F.concat(F.upper("name"), F.lit("!"))).alias("name"), F.when(F.col("n") % 2 == 0, F.col("segment")).alias("segment"), F.when(F.col("n") % 3 == 0, "new error").alias("error"))
     return current, changes
 
 
@@ -626,4 +659,4 @@ def check_violations(spark, sf_dir):
     return L.violations(A.api_usage(spark, sf_dir), rules)
 
 
-from . import lifecycle  # noqa: E402, F401  it adds its queries
+from . import documents, lifecycle  # noqa: E402, F401  they add their queries

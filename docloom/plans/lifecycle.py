@@ -9,7 +9,7 @@ from docloom.functions import text as T
 from docloom.operators import blocks as B
 from docloom.operators import ledger as L
 from docloom.sources import adapters as A
-from docloom.sources.schemas import STATUSES
+from docloom.sources.schemas import ROWS, STATUSES
 
 from .catalog import query
 
@@ -44,13 +44,13 @@ def status_gate(spark, sf_dir):
     return A.load(spark, sf_dir, "customer").select("c_custkey", status.alias("status")).withColumn("skip_extract", done)
 
 
-@query("""WITH o AS (SELECT c_custkey AS k, c_mktsegment AS status, c_nationkey AS n FROM customer WHERE c_custkey % 2 = 0), n AS (SELECT c_custkey AS k, 'NEW' AS status, CASE WHEN c_nationkey % 3 = 0 THEN 0 ELSE c_nationkey + 100 END AS n FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH o AS (SELECT s_suppkey AS k, s_name AS status, s_nationkey AS n FROM supplier), n AS (SELECT c_nationkey * 7::BIGINT AS k, 'NEW' AS status, CASE WHEN c_nationkey % 3 = 0 THEN 0 ELSE count(*) END AS n FROM customer GROUP BY c_nationkey)
   SELECT coalesce(n.k, o.k) AS k, coalesce(n.status, o.status) AS status, CAST(coalesce(nullif(n.n, 0), o.n) AS INT) AS n FROM o FULL JOIN n ON o.k = n.k""")
 def index_merge(spark, sf_dir):
     """The state always follows the change, the count only where the change has one that isn't 0."""
-    c = A.load(spark, sf_dir, "customer")
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("status"), F.col("c_nationkey").alias("n"))
-    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.lit("NEW").alias("status"), F.when(F.col("c_nationkey") % 3 == 0, 0).otherwise(F.col("c_nationkey") + 100).alias("n"))
+    old = A.load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("status"), F.col("s_nationkey").alias("n"))
+    new = A.load(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").cast("int").alias("c"))
+    new = new.select((F.col("c_nationkey").cast("long") * 7).alias("k"), F.lit("NEW").alias("status"), F.when(F.col("c_nationkey") % 3 == 0, 0).otherwise(F.col("c")).alias("n"))
     return L.upsert(old, new.withColumn("n", F.nullif("n", F.lit(0))), ["k"], ["status", "n"], [])
 
 
@@ -76,19 +76,31 @@ def status_response(spark, sf_dir):
     return times.join(done, "tender_id", "left").select("tender_id", F.coalesce("n", F.lit(0)).alias("document_count"), F.to_json(stamps, {"ignoreNullFields": "false"}).alias("timestamps"))
 
 
-_CELLS = "array_to_string(list_transform(cells, lambda x: '<' || tag || '>' || replace(replace(x, '&', '&amp;'), '<', '&lt;') || '</' || tag || '>'), '')"
+_CELL = """'<' || tag || CASE WHEN x = '' THEN ' colspan="2"' ELSE '' END || CASE WHEN x = 'R' THEN ' rowspan="3"' ELSE '' END || '>' || replace(replace(x, '&', '&amp;'), '<', '&lt;') || '</' || tag || '>'"""
 
 
 @query(f"""WITH {A.TABLE_ROWS}, c AS (SELECT tbl, ord, cells, CASE WHEN ord = 0 THEN 'th' ELSE 'td' END AS tag, CASE WHEN ord = 0 THEN 'header' WHEN len(list_filter(cells, lambda c: c <> '')) <= 2 THEN 'section' ELSE 'data' END AS row_type FROM rows_),
-  t AS (SELECT tbl, string_agg('<tr class="' || row_type || '">' || {_CELLS} || '</tr>', '' ORDER BY ord) AS body FROM c GROUP BY tbl)
+  t AS (SELECT tbl, string_agg('<tr class="' || row_type || '">' || array_to_string(list_transform(cells, lambda x: {_CELL}), '') || '</tr>', '' ORDER BY ord) AS body FROM c GROUP BY tbl)
   SELECT tbl, '<section class="block ' || 'table' || '-block" data-block-id="t' || tbl || '"><div class="block-meta">block: t' || tbl || '</div><table>' || body || '</table></section>' AS html FROM t""")
 def render_tables(spark, sf_dir):
+    """Blank cells span two columns and cells of one flag three rows, as the rules for cells with spans have it; others have no attributes."""
     rows = A.table_rows(spark, sf_dir).withColumn("row_type", B.row_class(F.col("cells"), F.col("ord") == 0, F.size("cells"), strict=False))
-    t = rows.groupBy("tbl").agg(F.array_sort(F.collect_list(F.struct("ord", "row_type", "cells"))).alias("rows")).withColumn("bid", F.concat(F.lit("t"), F.col("tbl").cast("string")))
+    span = lambda v: F.struct(v.alias("value"), F.when(v == "", 2).otherwise(1).alias("colspan"), F.when(v == "R", 3).otherwise(1).alias("rowspan"))
+    t = rows.groupBy("tbl").agg(F.array_sort(F.collect_list(F.struct("ord", "row_type", F.transform("cells", span).alias("cells")))).alias("rows")).withColumn("bid", F.concat(F.lit("t"), F.col("tbl").cast("string")))
     none, nothing = F.lit(None).cast("string"), F.lit(None).cast("int")
     return t.select("tbl", B.block_html(F.lit("table"), F.col("bid"), none, F.lit(0), F.col("rows"), none, T.metadata_line(F.col("bid"), nothing, nothing, none)).alias("html"))
 
 
+@query("""SELECT page_id, '<section class="block image-block" data-block-id="p' || page_id || '"><div class="block-meta">block: p' || page_id || '</div>' || CASE WHEN page_id % 3 <> 0 THEN '<img src="' || replace(url, '&', '&amp;') || '" alt="p' || page_id || '" />' ELSE '' END
+  || CASE WHEN page_id % 2 = 0 THEN '<pre class="ocr-text">text &lt;' || page_id || '&gt;</pre>' ELSE '' END || '</section>' AS html FROM pages""")
+def render_images(spark, sf_dir):
+    bid, none = F.concat(F.lit("p"), F.col("page_id").cast("string")), F.lit(None).cast("string")
+    ocr = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("text <"), F.col("page_id").cast("string"), F.lit(">")))
+    image, meta = F.when(F.col("page_id") % 3 != 0, F.col("url")), T.metadata_line(bid, F.lit(None).cast("int"), F.lit(None).cast("int"), none)
+    html = B.block_html(F.lit("image"), bid, none, F.lit(0), F.lit(None).cast(ROWS), F.coalesce(ocr, F.lit("")), meta, image)
+    return A.load(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+
+
 @query("SELECT conv_id, count(*) AS n, list(role ORDER BY turn) AS roles, CAST(sum(trunc(length(text) / CAST(2.7 AS DOUBLE))) AS BIGINT) AS tokens FROM conversations GROUP BY conv_id")
 def chat_messages(spark, sf_dir):
     m = A.load(spark, sf_dir, "conversations").withColumn("t", T.estimate_tokens(F.col("text")))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; Python workers look for this package where the driver found it, besides what they were started or shipped with."""
+    environment = spark.sparkContext.environment
+    if ROOT not in (paths := environment.get("PYTHONPATH", "").split(os.pathsep)):
+        environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

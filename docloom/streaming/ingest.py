@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators import ledger
-from docloom.sources.files import read_snapshot, write_snapshot
+from docloom.sources.files import bucket_of, read_buckets, write_buckets
 
 
 def upsert_stream(changes: DataFrame, root: str, checkpoint: str, keys: list[str], order: str, keep_old: list[str], overwrite: list[str]) -> StreamingQuery:
-    """Each micro-batch's last row per key goes into a new snapshot under root. A batch that runs again finds its snapshot and stops."""
+    """Each micro-batch's last row per key goes into a new version of those buckets of the snapshot under root that it touches; the others aren't
+    rewritten. A batch that runs again finds its version and stops. Read with files.read_buckets."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -19,8 +20,9 @@ def upsert_stream(changes: DataFrame, root: str, checkpoint: str, keys: list[str
         if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
             return
         last = ledger.latest(batch, keys, F.desc(order), *[F.col(c).asc_nulls_last() for c in [*keep_old, *overwrite]]).drop(order)
-        current = read_snapshot(spark, root)
-        write_snapshot(ledger.upsert(current if current is not None else last.limit(0), last, keys, keep_old, overwrite), root, number)
+        touched = [r[0] for r in last.select(bucket_of(keys)).distinct().collect()]  # at most BUCKETS numbers
+        current = read_buckets(spark, root, touched)
+        write_buckets(ledger.upsert(current if current is not None else last.limit(0), last, keys, keep_old, overwrite), root, number, keys)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

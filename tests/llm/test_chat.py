@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import chat as C
 
@@ -83,3 +84,22 @@ def test_conversations_with_gaps(spark):
     r = C.conversations(d).collect()
     assert len(r) == 1 and sorted((t.turn is None, t.role or "", t.text) for t in r[0].turns) == sorted([(False, "user", "b"), (False, "user", "b"), (False, "", ""), (True, "user", "a")])
     assert C.written(d).count() == 1
+
+
+def test_other_roles_and_clashing_names(spark):
+    rows = [(1, 1, "user", "look it up"), (1, 2, "tool", "result 5"), (1, 3, "assistant", "five"), (2, 1, "user", "hi")]
+    d = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id long, turn long, role string, text string, transcript int, states int, turns int")
+    w = C.written(d)
+    got = {r.conv_id: r for r in w.collect()}
+    assert w.columns == ["conv_id", "transcript", "states"] and -1 in got[1].states and all(t in got[1].transcript for t in ("look it up", "result 5", "five"))
+    assert C.formatted(w, C.fit(w)).count() == 2
+
+
+def test_no_transcript_is_read_by_its_own_counts(spark):
+    """The query's rows are those of each part read by a model fitted on the others."""
+    w = C.written(spark.read.parquet(f"{SF}/conversations.parquet")).withColumn("part", F.expr(f"pmod(xxhash64(conv_id), {C.FOLDS})"))
+    parts = [r[0] for r in w.select("part").distinct().collect()]
+    want = set()
+    for f in parts:
+        want |= {(r.conv_id, r.rendered) for r in C.formatted(w.where(f"part = {f}"), C.fit(w.where(f"part <> {f}"))).collect()}
+    assert {(r.conv_id, r.rendered) for r in C.query(spark, SF).collect()} == want and len(parts) > 1

@@ -76,6 +76,37 @@ def test_odd_rows(spark, net):
 
 def test_training_repeats(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = L.sample(d, "doc_id", "text", "lang")
-    assert rows == L.sample(d.repartition(3), "doc_id", "text", "lang")
-    assert max(d.where("lang = 'en'").count(), 1) <= L.ROWS_PER_LANGUAGE and len({r.id for r in rows}) <= 4 * L.ROWS_PER_LANGUAGE
+    rows = sorted(L.sample(d, "doc_id", "text", "lang").collect())
+    assert rows == sorted(L.sample(d.repartition(3), "doc_id", "text", "lang").collect())
+    assert len(rows) == sum(min(L.ROWS_PER_LANGUAGE, r["count"]) for r in d.groupBy("lang").count().collect())
+
+
+def test_rows_labelled_und_are_learnt(spark):
+    words = lambda i, a: " ".join(a[(i * 7 + j * j) % len(a)] for j in range(60))
+    rows = [(i, words(i, ["alpha", "beta", "gamma", "delta"]), "en") for i in range(40)] + [(100 + i, words(i, ["qzx", "wvk", "jjq", "xkz"]), L.UNKNOWN) for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = L.predictions(d, L.train(d)).join(d, "doc_id")
+    assert got.where("lang_pred = lang").count() >= 78
+
+
+def test_pooling_is_the_mean_over_all_positions(spark, net):
+    """Each document by itself, position by position, by plain loops."""
+    texts = ["der Hund und die Katze " * 9, "é" * 40, "a", "the quick brown fox " * 5 + "x" * 3]
+    got = {r.doc_id: r for r in L.predictions(docs(spark, list(enumerate(texts))), net).collect()}
+    for i, t in enumerate(texts):
+        data, rows = t.encode(), []
+        for s in range(0, len(data), L.WINDOW):
+            x = np.full((L.WINDOW, 1), L.PAD)
+            part = np.frombuffer(data[s : s + L.WINDOW], np.uint8)
+            x[: len(part), 0] = part
+            rows += list(net.probabilities(net.states(x))[: len(part), :, 0])
+        assert np.allclose(np.mean(rows, 0), got[i].probs, atol=1e-3) and len(rows) == len(data)
+        assert got[i].label_bytes == np.bincount([int(r.argmax()) for r in rows], minlength=len(net.labels)).tolist()
+        assert got[i].lang_pred == net.labels[int(np.mean(rows, 0).argmax())] and got[i].accepted == (np.mean(rows, 0)[-1] < L.REJECT)
+
+
+def test_ties_go_to_the_first_label():
+    net = L.Network(["a", "b", "und"])
+    net.p = {k: np.zeros_like(v) for k, v in net.p.items()}
+    probs, seen = net.documents(np.frombuffer(b"some text", np.uint8), np.array([0, 9]))
+    assert np.allclose(probs, 1 / 3) and seen.tolist() == [[9, 0, 0]] and probs.argmax() == 0
