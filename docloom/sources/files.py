@@ -280,11 +280,11 @@ def read_blocks(documents: DataFrame, readers: dict[str, Callable[[bytes, str],
                 try:
                     found = read(path, bytes(data), doc_id)
                 except Exception as e:  # noqa: BLE001  a document's fault is its row's error, never the job's
-                    out.append({"path": path, "doc_id": doc_id, "error": f"{type(e).__name__}: {e}"[:2000]})
+                    out.append(dict.fromkeys(BLOCK_FIELDS) | {"path": path, "doc_id": doc_id, "ord": None, "error": f"{type(e).__name__}: {e}"[:2000]})
                     continue
-                out += [{"path": path, "doc_id": doc_id, "ord": i} | x for i, x in enumerate(found)]
+                out += [dict.fromkeys(BLOCK_FIELDS) | {"path": path, "doc_id": doc_id, "ord": i, "error": None} | x for i, x in enumerate(found)]
             ints = dict.fromkeys(("ord", "page", "page_end", "heading_level", "col_count"), "Int32")
-            yield pd.DataFrame(out, columns=["path", "doc_id", "ord", *BLOCK_FIELDS, "error"]).astype(ints)
+            yield pd.DataFrame(out, columns=["path", "doc_id", "ord", *BLOCK_FIELDS, "error"], dtype=object).astype(ints)
 
     return rows.mapInPandas(run, READ)
 

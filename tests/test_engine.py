@@ -285,7 +285,8 @@ def test_build_index(spark, tmp_path):
     assert {r.chunk_id: (r.vector, len(r.tokens), len(r.text_preview)) for r in index.collect()} == {"d1#0": ([60.0], 1, 60), "d2#0": ([2600.0], 520, 200)}
     config = spark.read.json(str(tmp_path / "i" / "config")).first()
     assert (config.model, config.dim, config.chunks_count, config.docs_indexed) == ("lengths", 1, 2, ["d1", "d2"])
-    assert [r.chunk_id for r in retrieval.search(index, [1.0], 1).collect()] == ["d1#0"]
+    assert {r.chunk_id: round(r.score, 9) for r in retrieval.search(index, [1.0], None).collect()} == {"d1#0": 1.0, "d2#0": 1.0}  # equal but for the 1e-10 beside each norm
+    assert retrieval.search(index, [1.0], 1).count() == 1
     assert retrieval.build_index(blocks, _lengths, "lengths", str(tmp_path / "only"), ["d2"]) == 1
     assert retrieval.build_index(blocks, _lengths, "lengths", str(tmp_path / "no"), ["d9"]) == 0 and not (tmp_path / "no").exists()
 
