@@ -30,7 +30,7 @@ K = 10
 EVERY = 20
 TREES = 96
 SYMBOLS = 6
-ENOUGH = 4000
+ENOUGH = 12000
 PROJECTIONS = 16
 SYMBOL_BITS = 5
 BITS = SYMBOLS * SYMBOL_BITS
