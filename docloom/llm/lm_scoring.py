@@ -14,7 +14,9 @@ no context has seen every token; single tokens back off to the uniform distribut
 ``train`` stores for each order a table of (g, logp) and one of (ctx, logalpha), in partitions by the key; ``score`` looks up the tokens of any
 texts from the highest order down, only those not found going on to the next. All of it is joins: nothing that grows with the corpus is broadcast.
 
-``own_scores`` scores the documents of a corpus by its own model, as the query does. All their n-grams are among those counted, so the highest order has them
+The query trains on a corpus and scores its documents by those tables.
+
+``own_scores`` is a shortcut for that, which builds no tables and no weights. All the documents' n-grams are among those counted, so the highest order has them
 all, and a trigram's and its context's counts and the discounts are all that the definition needs: the rows are those of train and score (a
 test compares them) without storing the tables. Each token is sent once to the task of its context, packed with others of its batch, and comes back as sums by document.
 """
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_batch, id_and_text, key_groups, map_batches, shared_dir, stored
+from .common import arrow_map, as_batch, dropped, id_and_text, key_groups, map_batches, shared_dir, stored
 from .textkernel import STEP, Words, mix, runs, utf8
 
 ORDER = 3
@@ -77,29 +79,32 @@ def discounts(numbers: list[int]) -> list[float]:
 
 
 def tokens(rows: DataFrame, order: int) -> DataFrame:
-    """key and, for n from 1, the n-gram g<n> that ends at each token and its context c<n>, of rows (key, text)."""
-    names = [f"{x}{n}" for n in range(1, order + 1) for x in "gc"]
+    """key and the order symbols s1.. that end at each token, oldest first, of rows (key, text)."""
 
     def run(batch: pa.RecordBatch):
         raw, offsets = utf8(batch.column("text"))
         for i, j in runs(offsets, RUN_BYTES):
             symbols, each = sequences(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
-            m = len(symbols[0])
-            out = {f"g{n}": gram(symbols[order - n :], m) for n in range(1, order + 1)} | {f"c{n}": gram(symbols[order - n : -1], m) for n in range(1, order + 1)}
-            yield {"key": np.repeat(batch.column("key").to_numpy()[i:j], each)} | out
+            yield {"key": np.repeat(batch.column("key").to_numpy()[i:j], each)} | {f"s{n}": s.view(np.int64) for n, s in enumerate(symbols, 1)}
+
+    return arrow_map(rows.select("key", "text"), run, "key long, " + ", ".join(f"s{n} long" for n in range(1, order + 1)))
 
-    return arrow_map(rows.select("key", "text"), run, "key long, " + ", ".join(f"{c} long" for c in names))
+
+def grams_of(order: int, n: int):
+    """Keys of the n-gram that ends at a token and of its context."""
+    names = [f"s{i}" for i in range(order - n + 1, order + 1)]
+    return F.xxhash64(*names), F.xxhash64(*names[:-1]) if n > 1 else F.lit(0).cast("long")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return id_and_text(docs, id_col, text_col).where("text IS NOT NULL").withColumn("key", F.xxhash64("id", "text"))
 
 
-def in_partitions(table: DataFrame, key: str, name: str) -> DataFrame:
-    """The table stored in partitions by key of about ROWS_PER_PARTITION rows, each sorted."""
+def in_partitions(table: DataFrame, key: str, name: str, rows: int) -> DataFrame:
+    """The table, of about so many rows, stored in partitions by key of about ROWS_PER_PARTITION rows, each sorted."""
     spark = table.sparkSession
     path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    parts = max(1, -(-table.count() // ROWS_PER_PARTITION))
+    parts = max(1, -(-rows // ROWS_PER_PARTITION))
     table.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", key).write.partitionBy("part").parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
@@ -109,24 +114,27 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     Rows without id or text don't count; repeated rows count each. An empty table leaves the uniform distribution over the unknown token and the end mark. Other columns are ignored.
     """
-    names = [f"{x}{n}" for n in range(order, 0, -1) for x in "gc"]
+    names = [f"s{n}" for n in range(1, order + 1)]
     tables = [stored(tokens(keyed(docs, id_col, text_col), order).groupBy(*names).agg(F.count("*").alias("c")), "counts")]
     for n in range(order - 1, 0, -1):
-        tables.insert(0, stored(tables[0].groupBy(*names[2 * (order - n) :]).agg(F.sum("c").alias("c")), f"counts{n}"))
-    kinds = max(1, tables[0].count()) + 1
-    model, lower = [], None
+        tables.insert(0, stored(tables[0].groupBy(*names[order - n :]).agg(F.sum("c").alias("c")), f"counts{n}"))
+    sizes = [1, *[table.count() for table in tables]]
+    kinds = max(1, sizes[1]) + 1
+    model = []
     for n, table in enumerate(tables, 1):
         seen = table.agg(*[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, k + 2)]).first()
         d = F.lit(1.0)
         for r, x in enumerate(discounts(list(seen)), 1):
             d = F.when(F.col("c") == r, F.lit(x)).otherwise(d)
-        rows = table.select(F.col(f"g{n}").alias("g"), F.col(f"c{n}").alias("ctx"), *([F.col(f"g{n - 1}").alias("s")] if n > 1 else []), "c", (d * F.col("c")).alias("kept"))
-        rows = rows.withColumn("q", F.lit(1.0 / kinds)) if lower is None else rows.join(lower.select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
+        g, ctx = grams_of(order, n)
+        rows = table.select(ctx.alias("ctx"), *([grams_of(order, n - 1)[0].alias("g")] if n > 1 else []), "c")
+        rows = rows.join(model[-1][0].select("g", F.exp("v").alias("q")), "g") if model else rows.withColumn("q", F.lit(1.0 / kinds))
         mass, total = F.col("mass"), F.col("total")
-        at = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("kept").alias("mass"), F.sum("q").alias("below")).withColumn("base", total + F.when(mass >= total, 1).otherwise(0))
-        contexts = at.select("ctx", "base", F.log((1 - mass / F.col("base")) / (1 - F.col("below"))).alias("v"))
-        lower = stored(rows.join(contexts, "ctx").select("g", (F.col("kept") / F.col("base")).alias("p")), f"order{n}")
-        model.append((in_partitions(lower.select("g", F.log("p").alias("v")), "g", f"grams{n}"), in_partitions(contexts.select("ctx", "v"), "ctx", f"contexts{n}")))
+        at = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(d * F.col("c")).alias("mass"), F.sum("q").alias("below")).withColumn("base", total + F.when(mass >= total, 1).otherwise(0))
+        contexts = in_partitions(at.select("ctx", "base", F.log((1 - mass / F.col("base")) / (1 - F.col("below"))).alias("v")), "ctx", f"contexts{n}", sizes[n - 1])
+        grams = table.select(g.alias("g"), ctx.alias("ctx"), "c").join(contexts.select("ctx", "base"), "ctx").select("g", F.log(d * F.col("c") / F.col("base")).alias("v"))
+        model.append((in_partitions(grams, "g", f"grams{n}", sizes[n]), contexts.select("ctx", "v")))
+        dropped(table)
     return kinds, model
 
 
@@ -137,20 +145,27 @@ def score(docs: DataFrame, model: tuple[int, list[tuple[DataFrame, DataFrame]]],
     scored whole. Other columns are ignored; an empty table gives no rows.
     """
     kinds, tables = model
+    order = len(tables)
     rows = keyed(docs, id_col, text_col)
     each = rows.groupBy("key", "id").agg(F.count("*").alias("rows"))
 
     def evaluated(rest: DataFrame, n: int) -> DataFrame:
+        """Parts (key, tokens, v) of the documents' sums, of tokens that stand m times; those not found take their contexts' weights on to the next order."""
         if n == 0:
-            return rest.select("key", (F.col("so_far") - F.lit(float(np.log(kinds)))).alias("v"))
+            return rest.select("key", F.col("m").alias("tokens"), (F.col("m") * F.lit(-float(np.log(kinds)))).alias("v"))
         grams, contexts = tables[n - 1]
-        looked = rest.join(grams.withColumnRenamed("g", f"g{n}"), f"g{n}", "left")
-        missed = looked.where("v IS NULL").drop("v").join(contexts.withColumnRenamed("ctx", f"c{n}"), f"c{n}", "left")
-        missed = missed.withColumn("so_far", F.col("so_far") + F.coalesce("v", F.lit(0.0))).drop("v")
-        return looked.where("v IS NOT NULL").select("key", (F.col("so_far") + F.col("v")).alias("v")).unionByName(evaluated(missed, n - 1))
-
-    all_ = tokens(rows.dropDuplicates(["key"]), len(tables)).withColumn("so_far", F.lit(0.0))
-    scores = evaluated(stored(all_, "tokens"), len(tables)).groupBy("key").agg(F.count("*").alias("n"), F.sum("v").alias("logprob"))
+        g, ctx = grams_of(order, n)
+        names = [f"s{i}" for i in range(order - n + 1, order + 1)]
+        looked = rest.withColumn("g", g).join(grams, "g", "left")
+        looked = looked.groupBy("key", *[F.when(F.col("v").isNull(), F.col(s)).alias(s) for s in names]).agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("v")).alias("v"))
+        looked = stored(looked, f"looked{n}")
+        found = looked.where("v IS NOT NULL").select("key", F.col("m").alias("tokens"), "v")
+        missed = looked.where("v IS NULL").drop("v")
+        weights = missed.withColumn("ctx", ctx).join(contexts, "ctx").select("key", F.lit(0).cast("long").alias("tokens"), (F.col("m") * F.col("v")).alias("v"))
+        return found.unionByName(weights).unionByName(evaluated(missed.select("key", "m", *names[1:]), n - 1))
+
+    all_ = tokens(rows.dropDuplicates(["key"]), order).withColumn("m", F.lit(1).cast("long"))
+    scores = evaluated(all_, order).groupBy("key").agg(F.sum("tokens").alias("n"), F.sum("v").alias("logprob"))
     found = each.join(scores, "key").select(F.explode(F.array_repeat("id", F.col("rows").cast("int"))).alias("doc_id"), F.col("n").alias("n_tokens"), "logprob")
     return per_token(found)
 
@@ -304,11 +319,12 @@ def own_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Every document by the model of them all; logprob to 3 places, bits_per_token to 6, perplexity to 4."""
+    """Every document by the back-off model of them all; logprob to 3 places, bits_per_token to 6, perplexity to 4."""
     from .common import table
 
     places = {"logprob": 3, "bits_per_token": 6, "perplexity": 4}
-    return own_scores(table(spark, sf_dir, "documents")).withColumns({c: F.round(c, n) for c, n in places.items()})
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs)).withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 def _sql() -> str:

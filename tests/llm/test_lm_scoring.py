@@ -140,3 +140,19 @@ def test_query_tells_word_order_and_grows_with_the_words(spark, tmp_path):
     got = {r.doc_id: r for r in L.query(spark, str(tmp_path)).collect()}
     assert got[900].n_tokens == 6
     assert got[900].bits_per_token > got[1].bits_per_token
+
+
+def test_query_scores_by_a_model_that_backs_off(spark, tmp_path, monkeypatch, texts):
+    """The query's scores are looked up in tables of all orders with weights, which give other texts what the definition does."""
+    made, used = [], []
+    train, score = L.train, L.score
+    monkeypatch.setattr(L, "train", lambda *a, **b: made.append(train(*a, **b)) or made[-1])
+    monkeypatch.setattr(L, "score", lambda d, m, *a, **b: used.append(m) or score(d, m, *a, **b))
+    docs(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    katz = Katz(texts)
+    got = {r.doc_id: r.logprob for r in L.query(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({i: katz.log(t) for i, t in enumerate(texts)}, abs=6e-4)
+    assert len(made) == 1 and used[0] is made[0]
+    new = ["zzz q", "a b zzz", "b a c b", texts[0][:40] + " zzz"]
+    found = {r.doc_id: r.logprob for r in score(docs(spark, list(enumerate(new))), made[0]).collect()}
+    assert found == pytest.approx({i: katz.log(t) for i, t in enumerate(new)}, abs=1e-9)
