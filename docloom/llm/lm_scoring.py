@@ -11,8 +11,11 @@ next shorter context's probabilities, by a weight that makes each context's prob
 A context none of whose counts is discounted counts one unseen token more, so alpha is positive. Words that the corpus hasn't are one unknown token more, so
 no context has seen every token; single tokens back off to the uniform distribution over all of them.
 
-``train`` stores for each order a table of (g, logp) and one of (ctx, logalpha), in partitions by the key; ``score`` looks up the tokens of any
-texts from the highest order down, only those not found going on to the next. All of it is joins: nothing that grows with the corpus is broadcast.
+``train`` stores the tables of all orders: (g, logp) and (ctx, logalpha), in partitions by the key, of single tokens and of bigrams' contexts; and blocks of packed codes,
+bucketed by part, that have all trigrams and bigrams of their contexts with their counts. From these, the discounts and the bigrams of its part, a block's reader has the log-probabilities of both orders
+and the weights of trigrams' contexts, so these aren't written as numbers of eight bytes each. ``score`` sends the tokens of any texts to the blocks of their contexts, which
+look them up from the highest order down; bigrams not found go on to the tables of contexts and single tokens as joins. Nothing that grows with the corpus is broadcast:
+the BOOK commonest words that have short codes are a fixed number.
 
 The query trains on a corpus and scores its documents by those tables.
 
@@ -23,6 +26,7 @@ test compares them) without storing the tables. Each token is sent once to the t
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -31,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_batch, dropped, id_and_text, key_groups, map_batches, shared_dir, stored
+from .common import as_batch, dropped, id_and_text, key_groups, map_batches, shared_dir, stored
 from .textkernel import STEP, Words, mix, runs, utf8
 
 ORDER = 3
@@ -40,7 +44,8 @@ BEGIN, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 RUN_BYTES = 1 << 20
 GROUP_BYTES = 1 << 24
 PART_BYTES = 8 << 20
-ROWS_PER_PARTITION = 1 << 22
+ROWS_PER_PARTITION = 1 << 21
+BOOK = 1 << 18
 
 
 def sequences(raw: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> tuple[list[np.ndarray], np.ndarray]:
@@ -78,96 +83,493 @@ def discounts(numbers: list[int]) -> list[float]:
     return out
 
 
-def tokens(rows: DataFrame, order: int) -> DataFrame:
-    """key and the order symbols s1.. that end at each token, oldest first, of rows (key, text)."""
+def in_partitions(table: DataFrame, key: str, name: str, rows: int) -> DataFrame:
+    """The table, of about so many rows, stored in partitions by key of about ROWS_PER_PARTITION rows, each sorted."""
+    spark = table.sparkSession
+    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    parts = max(1, -(-rows // ROWS_PER_PARTITION))
+    table.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", key).write.partitionBy("part").parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+class Book:
+    """Short codes for the commonest words, by rank; all others are rare and numbered after them, in each cell anew, by a list of their hashes. Only a way to write
+    words in few bytes: what is counted and scored doesn't depend on it."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.n = words, len(words)
+        self.rank = np.argsort(words).astype(np.uint32)
+        self.rising = words[self.rank]
+
+    def code(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes, and the hashes of the rare words in the order of theirs."""
+        at = np.minimum(np.searchsorted(self.rising, words), self.n - 1)
+        rest = self.rising[at] != words
+        code = self.rank[at]
+        rare, where = np.unique(words[rest], return_inverse=True)
+        code[rest] = self.n + where
+        return code, rare
+
+    def sealed(self, columns: list[np.ndarray], rare: np.ndarray) -> tuple[bytes, list[np.ndarray]]:
+        """The hashes of those rare words that the columns have, and the columns with these numbered anew in the same order."""
+        used = np.unique(np.concatenate([c[c >= self.n] for c in columns]))
+        out = []
+        for c in columns:
+            c, high = c.copy(), c >= self.n
+            c[high] = self.n + np.searchsorted(used, c[high])
+            out.append(c)
+        return put(np.diff(rare[used - self.n], prepend=np.uint64(0))), out
+
+    def opened(self, lists: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of several cells' lists of rare words: one list of them all, and for each cell the codes in it of its own list."""
+        hashes = [np.cumsum(got(x)) for x in lists]
+        rare = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        return rare, [(self.n + np.searchsorted(rare, h)).astype(np.uint32) for h in hashes]
+
+    def renumbered(self, codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """Codes with those of rare words replaced."""
+        out, high = codes.astype(np.uint32), codes >= self.n
+        out[high] = rare[codes[high] - self.n]
+        return out
+
+
+def put(values: np.ndarray) -> bytes:
+    """Whole numbers, packed byte by byte of their places; the number of them and of bytes of each stand before."""
+    v = np.ascontiguousarray(values, np.uint64)
+    wide = max(1, -(-int(v.max()).bit_length() // 8)) if len(v) else 1
+    return len(v).to_bytes(7, "little") + bytes([wide]) + squeezed(v.view(np.uint8).reshape(-1, 8)[:, :wide].T, np.uint8)
+
+
+def got(data: bytes) -> np.ndarray:
+    n, wide = int.from_bytes(data[:7], "little"), data[7]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :wide] = loosened(data[8:], n * wide, np.uint8).reshape(wide, n).T
+    return out.view(np.uint64).ravel()
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row is the first or differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], 0)
+    return new
+
+
+def distinct(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of some columns of codes, sorted, and the sums of n over them."""
+    if not len(n):
+        return columns, n
+    bits = max(int(c.max()) for c in columns).bit_length()
+    if bits * len(columns) <= 64:
+        key = np.zeros(len(n), np.uint64)
+        for c in columns:
+            key = key << np.uint64(bits) | c.astype(np.uint64)
+        order = np.argsort(key)
+    else:
+        order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    at = np.flatnonzero(changes(*columns))
+    return [c[at] for c in columns], np.add.reduceat(n[order], at)
+
+
+def put_rows(columns: list[np.ndarray]) -> list[bytes]:
+    """Sorted rows, each column by its steps where the columns before it stay the same."""
+    out, same = [], np.zeros(len(columns[0]), bool)
+    same[1:] = True
+    for c in columns:
+        c = c.astype(np.int64)
+        step = c.copy()
+        step[1:] -= np.where(same[1:], c[:-1], 0)
+        out.append(put(step.view(np.uint64)))
+        same &= ~changes(c)
+    return out
+
 
-    def run(batch: pa.RecordBatch):
+def got_rows(data: list[bytes]) -> list[np.ndarray]:
+    out, first = [], None
+    for x in data:
+        step = got(x)
+        total = np.cumsum(step)
+        if first is not None and len(step):
+            at = np.flatnonzero(first)
+            total -= np.repeat(total[at] - step[at], np.diff(np.append(at, len(step))))
+        out.append(total.astype(np.uint32))
+        first = changes(out[-1]) if first is None else first | changes(out[-1])
+    return out
+
+
+def groups_of(batches, seen, size: int):
+    """ids, tokens and numbers of tokens of groups of documents; seen gives each run's tokens another form."""
+    for batch in batches:
         raw, offsets = utf8(batch.column("text"))
-        for i, j in runs(offsets, RUN_BYTES):
-            symbols, each = sequences(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)
-            yield {"key": np.repeat(batch.column("key").to_numpy()[i:j], each)} | {f"s{n}": s.view(np.int64) for n, s in enumerate(symbols, 1)}
+        for i, j in runs(offsets, size):
+            some, base, words, each = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], [], []
+            for x, y in runs(base, RUN_BYTES):
+                symbols, n = sequences(some[base[x] : base[y]], base[x : y + 1] - base[x], 1)
+                words.append(symbols[0])
+                each.append(n)
+            yield batch.column("id").to_numpy()[i:j], *seen(np.concatenate(words)), np.concatenate(each)
 
-    return arrow_map(rows.select("key", "text"), run, "key long, " + ", ".join(f"s{n} long" for n in range(1, order + 1)))
 
+def unigrams(rows: DataFrame) -> DataFrame:
+    def run(batches):
+        for _, words, n, _ in groups_of(batches, lambda w: np.unique(w, return_counts=True), GROUP_BYTES):
+            yield as_batch({"w": words.view(np.int64), "c": n}, pa.schema([("w", pa.int64()), ("c", pa.int64())]))
 
-def grams_of(order: int, n: int):
-    """Keys of the n-gram that ends at a token and of its context."""
-    names = [f"s{i}" for i in range(order - n + 1, order + 1)]
-    return F.xxhash64(*names), F.xxhash64(*names[:-1]) if n > 1 else F.lit(0).cast("long")
+    return stored(map_batches(rows, run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return id_and_text(docs, id_col, text_col).where("text IS NOT NULL").withColumn("key", F.xxhash64("id", "text"))
+class Places:
+    """Which part a trigram belongs to: that of its middle word, so a part has all trigrams and bigrams of its contexts. The trigrams of a word that would
+    fill several parts are spread over some by their first words; these parts have all its bigrams each, and the first of them is their owner."""
 
+    def __init__(self, book: Book, counts: np.ndarray, tokens: int):
+        self.parts = max(1, -(-tokens // ROWS_PER_PARTITION))
+        self.book, self.spread = book, np.minimum(1 + counts // (2 * ROWS_PER_PARTITION), self.parts).astype(np.uint64)
 
-def in_partitions(table: DataFrame, key: str, name: str, rows: int) -> DataFrame:
-    """The table, of about so many rows, stored in partitions by key of about ROWS_PER_PARTITION rows, each sorted."""
-    spark = table.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
-    parts = max(1, -(-rows // ROWS_PER_PARTITION))
-    table.withColumn("part", F.pmod(key, F.lit(parts)).cast("int")).repartition("part").sortWithinPartitions("part", key).write.partitionBy("part").parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
+    def of(self, first: np.ndarray, middle: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        words, parts = np.concatenate([self.book.words, rare]), np.uint64(self.parts)
+        return ((words[middle] % parts + (words[first] >> np.uint64(20)) % self.wide(middle)) % parts).astype(np.int32)
+
+    def wide(self, middle: np.ndarray) -> np.ndarray:
+        return np.where(middle < self.book.n, self.spread[np.minimum(middle, self.book.n - 1)], np.uint64(1))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, k: int = GT_MAX) -> tuple[int, list[tuple[DataFrame, DataFrame]]]:
+def trigrams(book: Book, code: np.ndarray, each: np.ndarray) -> list[np.ndarray]:
+    """Codes of the middle, first and last words of the trigrams that end at each token."""
+    begin = int(book.code(np.array([BEGIN]))[0][0])
+    out, at = [code], np.cumsum(each) - each
+    for _ in range(ORDER - 1):
+        before = np.roll(out[-1], 1)
+        before[at] = begin
+        out.append(before)
+    return [out[1], out[2], out[0]]
+
+
+CELL = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("rare", pa.binary()), ("s2", pa.binary()), ("s1", pa.binary()), ("s3", pa.binary()), ("n", pa.binary())])
+ASKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("docs", pa.int32()), ("ids", pa.binary()), ("rare", pa.binary()), ("s2", pa.binary()), ("s1", pa.binary()), ("s3", pa.binary()), ("doc", pa.binary()), ("n", pa.binary())])
+BLOCK = pa.schema([("part", pa.int32()), ("rare", pa.binary()), *[(c, pa.binary()) for c in ("s2", "s1", "s3", "n", "t2", "t3", "m")], ("n2", pa.list_(pa.int64())), ("n3", pa.list_(pa.int64()))])
+TOLD = pa.schema([("batch", pa.int64()), ("docs", pa.int32()), ("ids", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("values", pa.binary()), ("at", pa.binary()), ("missed", pa.int64()), *[(c, pa.binary()) for c in ("miss", "m2", "m3")]])
+
+
+def spark_schema(schema: pa.Schema):
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return from_arrow_schema(schema)
+
+
+def each_of(batches, key: str):
+    """The rows of each value of a key by which the batches are sorted."""
+    for group in key_groups(batches, key):
+        at = np.flatnonzero(changes(group.column(key).to_numpy()))
+        for i, j in zip(at, np.append(at[1:], len(group))):
+            yield group.slice(i, j - i)
+
+
+def by_part(part: np.ndarray):
+    """Each part and where its rows are, in their order."""
+    order = np.argsort(part, kind="stable")
+    at = np.flatnonzero(changes(part[order])) if len(part) else []
+    for i, j in zip(at, np.append(at[1:], len(part)) if len(part) else []):
+        yield int(part[order[i]]), order[i:j]
+
+
+def counted(rows: DataFrame, places: Places) -> DataFrame:
+    """Blocks: of each part its different trigrams and bigrams with their counts, by codes, and how many were seen 1, 2 .. times."""
+    book = places.book
+    heavy = bool((places.spread > 1).any())
+
+    def cells(batches):
+        for _, code, rare, each in groups_of(batches, book.code, GROUP_BYTES):
+            columns, n = distinct(trigrams(book, code, each), np.ones(len(code), np.int64))
+            for part, at in by_part(places.of(columns[1], columns[0], rare)):
+                listed, mine = book.sealed([c[at] for c in columns], rare)
+                s2, s1, s3 = put_rows(mine)
+                yield as_batch({"part": [part], "kind": [0], "rare": [listed], "s2": [s2], "s1": [s1], "s3": [s3], "n": [put(n[at])]}, CELL)
+
+    def pairs(batches):
+        for _, code, rare, each in groups_of(batches, book.code, GROUP_BYTES):
+            s2, _, s3 = trigrams(book, code, each)
+            at = places.wide(s2) > 1
+            (s2, s3), n = distinct([s2[at], s3[at]], np.ones(int(at.sum()), np.int64))
+            words = np.concatenate([book.words, rare]).view(np.int64)
+            yield as_batch({"x": words[s2], "y": words[s3], "c": n}, pa.schema([("x", pa.int64()), ("y", pa.int64()), ("c", pa.int64())]))
+
+    def copies(batches):
+        for batch in batches:
+            x, rare = book.code(np.concatenate([batch.column(c).to_numpy() for c in ("x", "y")]).view(np.uint64))
+            (s2, s3), n = distinct([x[: len(batch)], x[len(batch) :]], batch.column("c").to_numpy())
+            wide = places.wide(s2).astype(np.int64)
+            row = np.repeat(np.arange(len(s2)), wide)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(wide) - wide, wide)
+            home = (book.words[s2] % np.uint64(places.parts)).astype(np.int64)
+            for part, at in by_part((home[row] + step) % places.parts):
+                listed, mine = book.sealed([s2[row[at]], s3[row[at]]], rare)
+                y2, y3 = put_rows(mine)
+                yield as_batch({"part": [part], "kind": [1], "rare": [listed], "s2": [y2], "s1": [None], "s3": [y3], "n": [put(n[row[at]])]}, CELL)
+
+    def gathered(group: pa.RecordBatch, kind: int, names: list[str], common: list[np.ndarray]):
+        columns, n = [[] for _ in names], [np.zeros(0, np.int64)]
+        for r, codes in zip(group.to_pylist(), common):
+            if r["kind"] == kind:
+                for out, c in zip(columns, got_rows([r[x] for x in names])):
+                    out.append(book.renumbered(c, codes))
+                n.append(got(r["n"]).astype(np.int64))
+        return distinct([np.concatenate([np.zeros(0, np.uint32), *c]) for c in columns], np.concatenate(n))
+
+    def add(batches):
+        for group in each_of(batches, "part"):
+            part = group.column("part")[0].as_py()
+            rare, common = book.opened(group.column("rare").to_pylist())
+            three, n = gathered(group, 0, ["s2", "s1", "s3"], common)
+            alone = places.wide(three[0]) == 1
+            two, m = distinct([three[0][alone], three[2][alone]], n[alone])
+            more, more_m = gathered(group, 1, ["s2", "s3"], common)
+            two, m = distinct([np.concatenate([x, y]) for x, y in zip(two, more)], np.concatenate([m, more_m]))
+            numbers = lambda c: np.bincount(c[c <= GT_MAX + 1], minlength=GT_MAX + 2)[1:]
+            mine = np.concatenate([book.words, rare])[two[0]] % np.uint64(places.parts) == part
+            s2, s1, s3 = put_rows(three)
+            t2, t3 = put_rows(two)
+            listed = put(np.diff(rare, prepend=np.uint64(0)))
+            yield as_batch({"part": [part], "rare": [listed], "s2": [s2], "s1": [s1], "s3": [s3], "n": [put(n)], "t2": [t2], "t3": [t3], "m": [put(m)], "n2": [numbers(m[mine])], "n3": [numbers(n)]}, BLOCK)
+
+    sent = map_batches(rows, cells, spark_schema(CELL))
+    if heavy:
+        each = map_batches(rows, pairs, "x long, y long, c long").groupBy("x", "y").agg(F.sum("c").alias("c"))
+        sent = sent.unionByName(map_batches(each, copies, spark_schema(CELL)))
+    made_ = map_batches(sent.repartition("part").sortWithinPartitions("part"), add, spark_schema(BLOCK))
+    spark, name = rows.sparkSession, f"docloom_blocks_{uuid.uuid4().hex}"
+    made_.write.bucketBy(places.parts, "part").option("path", f"{shared_dir(spark)}/docloom/{name}").saveAsTable(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of a table with a path of its own, the files stay
+    return blocks
+
+
+class Block:
+    """A part's tables of the two highest orders, of a model with the discounts d2 and d3: log-probabilities of its bigrams and trigrams, log-weights of its trigrams' contexts."""
+
+    def __init__(self, r: dict, places: Places, d2: list[float], d3: list[float]):
+        book = places.book
+        self.rare, _ = book.opened([r["rare"]])
+        self.words = np.concatenate([book.words, self.rare])
+        self.s2, self.s1, self.s3 = got_rows([r["s2"], r["s1"], r["s3"]])
+        self.t2, self.t3 = got_rows([r["t2"], r["t3"]])
+        at2, of2, self.mass2, self.base2, self.p2 = kept(changes(self.t2), got(r["m"]), d2)
+        at3, of3, mass, base, p3 = kept(changes(self.s2, self.s1), got(r["n"]), d3)
+        self.at2, self.at3, self.v2, self.v3 = at2, at3, np.log(self.p2), np.log(p3)
+        self.two = self.t2.astype(np.uint64) << np.uint64(32) | self.t3
+        self.context = self.s2[at3].astype(np.uint64) << np.uint64(32) | self.s1[at3]
+        self.three = of3.astype(np.uint64) << np.uint64(32) | self.s3
+        below = self.p2[np.searchsorted(self.two, self.s2.astype(np.uint64) << np.uint64(32) | self.s3)]
+        left = 1 - np.bincount(of3, below, len(at3)) if len(at3) else np.zeros(0)
+        self.alpha = np.log((1 - mass / base) / left)
+        self.mine = self.words[self.t2] % np.uint64(places.parts) == r["part"]
+
+    def find(self, s2: np.ndarray, s1: np.ndarray, s3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of trigrams by this block's codes (2**32 - 1: a word that it hasn't): that of the trigram, else its context's weight and the bigram's; and which have no bigram, whose value is the weight alone."""
+        value, missed = np.zeros(len(s2)), np.zeros(len(s2), bool)
+        if not len(self.context):
+            return value, ~missed
+        context = s2.astype(np.uint64) << np.uint64(32) | s1
+        h = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+        seen = self.context[h] == context
+        key = np.where(seen, h, len(self.context)).astype(np.uint64) << np.uint64(32) | s3
+        at = np.minimum(np.searchsorted(self.three, key), len(self.three) - 1)
+        there = self.three[at] == key
+        value[there] = self.v3[at[there]]
+        rest = np.flatnonzero(~there)
+        if len(rest):
+            value[rest] = np.where(seen[rest], self.alpha[h[rest]], 0.0)
+            two = s2[rest].astype(np.uint64) << np.uint64(32) | s3[rest]
+            at = np.minimum(np.searchsorted(self.two, two), len(self.two) - 1)
+            there = self.two[at] == two
+            value[rest[there]] += self.v2[at[there]]
+            missed[rest[~there]] = True
+        return value, missed
+
+
+def kept(first: np.ndarray, c: np.ndarray, d: list[float]):
+    """Of counts, of which some are the first of a context: these, the context of each, contexts' masses and bases, and the probabilities."""
+    c = c.astype(np.int64)
+    factor = np.append(1.0, d)[np.where(c < len(d) + 1, c, 0)]
+    at, of = np.flatnonzero(first), np.cumsum(first) - 1
+    if not len(at):
+        return at, of, np.zeros(0), np.zeros(0), np.zeros(0)
+    total, mass = np.add.reduceat(c, at), np.add.reduceat(factor * c, at)
+    base = total + (mass >= total)
+    return at, of, mass, base, factor * c / base[of]
+
+
+class Model(tuple):
+    """(kinds, tables) of train, with the blocks that hold the tables of the two highest orders."""
+
+    blocks: DataFrame
+    places: Places
+    d: list[list[float]]
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = GT_MAX) -> Model:
     """The number of kinds of tokens, and for each order from 1 the tables (g, logp) and (ctx, logalpha).
 
     Rows without id or text don't count; repeated rows count each. An empty table leaves the uniform distribution over the unknown token and the end mark. Other columns are ignored.
     """
-    names = [f"s{n}" for n in range(1, order + 1)]
-    tables = [stored(tokens(keyed(docs, id_col, text_col), order).groupBy(*names).agg(F.count("*").alias("c")), "counts")]
-    for n in range(order - 1, 0, -1):
-        tables.insert(0, stored(tables[0].groupBy(*names[order - n :]).agg(F.sum("c").alias("c")), f"counts{n}"))
-    sizes = [1, *[table.count() for table in tables]]
-    kinds = max(1, sizes[1]) + 1
-    model = []
-    for n, table in enumerate(tables, 1):
-        seen = table.agg(*[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, k + 2)]).first()
-        d = F.lit(1.0)
-        for r, x in enumerate(discounts(list(seen)), 1):
-            d = F.when(F.col("c") == r, F.lit(x)).otherwise(d)
-        g, ctx = grams_of(order, n)
-        rows = table.select(ctx.alias("ctx"), *([grams_of(order, n - 1)[0].alias("g")] if n > 1 else []), "c")
-        rows = rows.join(model[-1][0].select("g", F.exp("v").alias("q")), "g") if model else rows.withColumn("q", F.lit(1.0 / kinds))
-        mass, total = F.col("mass"), F.col("total")
-        at = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum(d * F.col("c")).alias("mass"), F.sum("q").alias("below")).withColumn("base", total + F.when(mass >= total, 1).otherwise(0))
-        contexts = in_partitions(at.select("ctx", "base", F.log((1 - mass / F.col("base")) / (1 - F.col("below"))).alias("v")), "ctx", f"contexts{n}", sizes[n - 1])
-        grams = table.select(g.alias("g"), ctx.alias("ctx"), "c").join(contexts.select("ctx", "base"), "ctx").select("g", F.log(d * F.col("c") / F.col("base")).alias("v"))
-        model.append((in_partitions(grams, "g", f"grams{n}", sizes[n]), contexts.select("ctx", "v")))
-        dropped(table)
-    return kinds, model
-
-
-def score(docs: DataFrame, model: tuple[int, list[tuple[DataFrame, DataFrame]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    rows = id_and_text(docs, id_col, text_col).where("text IS NOT NULL")
+    words = unigrams(rows)
+    one = words.agg(F.count("*").alias("kinds"), F.sum("c").alias("total"), *[F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, k + 2)]).first()
+    kinds, total = max(1, one["kinds"]) + 1, one["total"] or 0
+    d = [discounts(list(one[2:]))]
+    off = lambda c, d: F.element_at(F.array(*map(F.lit, [*d, 1.0])), F.least(c, F.lit(k + 1)).cast("int"))
+    mass = words.agg(F.sum(off(F.col("c"), d[0]) * F.col("c")).alias("mass")).first()["mass"] or 0.0
+    base = total + (mass >= total)
+    p1 = off(F.col("c"), d[0]) * F.col("c") / F.lit(float(base))
+    common = words.orderBy(F.desc("c"), "w").limit(BOOK).toArrow()
+    top, counts = common.column("w").to_numpy().view(np.uint64), common.column("c").to_numpy()
+    top, counts = np.append(top, BEGIN), np.append(counts, 0)
+    places = Places(Book(top), counts, total)
+    q = np.append(1.0, d[0])[np.where(counts <= k, counts, 0)] * counts / base
+    blocks = counted(rows, places)
+    numbers = blocks.agg(*[F.sum(F.col(n)[r]).alias(f"{n}_{r}") for n in ("n2", "n3") for r in range(k + 1)]).first()
+    d += [discounts([x or 0 for x in numbers[: k + 1]]), discounts([x or 0 for x in numbers[k + 1 :]])]
+    d2, d3 = d[1:]
+
+    def view(fn, schema: str) -> DataFrame:
+        kinds_ = {"long": pa.int64(), "double": pa.float64()}
+        arrow = pa.schema([(c, kinds_[t]) for c, t in (x.split() for x in schema.split(", "))])
+
+        def run(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    yield from (as_batch(out, arrow) for out in fn(Block(r, places, d2, d3)))
+
+        return map_batches(blocks.drop("n2", "n3"), run, schema)
+
+    def bigrams(b: Block):
+        yield {"s2": b.words[b.t2[b.mine]].view(np.int64), "s3": b.words[b.t3[b.mine]].view(np.int64), "v": b.v2[b.mine]}
+
+    def all_trigrams(b: Block):
+        yield {"s1": b.words[b.s1].view(np.int64), "s2": b.words[b.s2].view(np.int64), "s3": b.words[b.s3].view(np.int64), "v": b.v3}
+
+    def weights(b: Block):
+        yield {"s1": b.words[b.s1[b.at3]].view(np.int64), "s2": b.words[b.s2[b.at3]].view(np.int64), "v": b.alpha}
+
+    def lower(b: Block):
+        """Of each middle word: what its bigrams leave, and their single tokens' probabilities, of the common ones summed up, of others as rows to join."""
+        mine = b.mine[b.at2]
+        known = b.t3 < places.book.n
+        below = np.bincount(np.cumsum(changes(b.t2)) - 1, np.where(known, q[np.minimum(b.t3, places.book.n - 1)], 0), len(b.at2)) if len(b.at2) else np.zeros(0)
+        ctx = b.words[b.t2].view(np.int64)
+        n = int(mine.sum())
+        yield {"ctx": ctx[b.at2][mine], "w": pa.nulls(n, pa.int64()), "q": below[mine], "rest": (1 - b.mass2 / b.base2)[mine]}
+        some = b.mine & ~known
+        n = int(some.sum())
+        yield {"ctx": ctx[some], "w": b.words[b.t3[some]].view(np.int64), "q": pa.nulls(n, pa.float64()), "rest": pa.nulls(n, pa.float64())}
+
+    parts = stored(view(lower, "ctx long, w long, q double, rest double"), "lower")
+    rare = parts.where("w IS NOT NULL").select("ctx", "w").join(words.select("w", p1.alias("q")), "w").select("ctx", "q", F.lit(None).cast("double").alias("rest"))
+    at = parts.where("w IS NULL").select("ctx", "q", "rest").unionByName(rare).groupBy("ctx").agg(F.sum("q").alias("below"), F.max("rest").alias("rest"))
+    contexts2 = in_partitions(at.select(F.xxhash64("ctx").alias("ctx"), F.log(F.col("rest") / (1 - F.col("below"))).alias("v")), "ctx", "contexts2", one["kinds"])
+    dropped(parts)
+    grams1 = in_partitions(words.select(F.xxhash64("w").alias("g"), F.log(p1).alias("v")), "g", "grams1", one["kinds"])
+    spark = docs.sparkSession
+    alpha = [(0, float(np.log((1 - mass / base) / (1 - one["kinds"] / kinds))))] if total else []
+    contexts1 = spark.createDataFrame(alpha, "ctx long, v double")
+    dropped(words)
+    grams2 = view(bigrams, "s2 long, s3 long, v double").select(F.xxhash64("s2", "s3").alias("g"), "v")
+    grams3 = view(all_trigrams, "s1 long, s2 long, s3 long, v double").select(F.xxhash64("s1", "s2", "s3").alias("g"), "v")
+    contexts3 = view(weights, "s1 long, s2 long, v double").select(F.xxhash64("s1", "s2").alias("ctx"), "v")
+    model = Model((kinds, [(grams1, contexts1), (grams2, contexts2), (grams3, contexts3)]))
+    model.blocks, model.places, model.d = blocks, places, d
+    cleaned(spark)
+    return model
+
+
+def cleaned(spark) -> None:
+    """Lets Spark delete the shuffle files of what nothing refers to any more, which it does when its driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens (words and the end mark), logprob (natural, of the whole document), bits_per_token, perplexity.
 
     Null text: no row. Empty or blank text: the end mark alone. Null ids are left out; repeated rows are scored each. Very long texts are
     scored whole. Other columns are ignored; an empty table gives no rows.
     """
     kinds, tables = model
-    order = len(tables)
-    rows = keyed(docs, id_col, text_col)
-    each = rows.groupBy("key", "id").agg(F.count("*").alias("rows"))
-
-    def evaluated(rest: DataFrame, n: int) -> DataFrame:
-        """Parts (key, tokens, v) of the documents' sums, of tokens that stand m times; those not found take their contexts' weights on to the next order."""
-        if n == 0:
-            return rest.select("key", F.col("m").alias("tokens"), (F.col("m") * F.lit(-float(np.log(kinds)))).alias("v"))
-        grams, contexts = tables[n - 1]
-        g, ctx = grams_of(order, n)
-        names = [f"s{i}" for i in range(order - n + 1, order + 1)]
-        looked = rest.withColumn("g", g).join(grams, "g", "left")
-        looked = looked.groupBy("key", *[F.when(F.col("v").isNull(), F.col(s)).alias(s) for s in names]).agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("v")).alias("v"))
-        looked = stored(looked, f"looked{n}")
-        found = looked.where("v IS NOT NULL").select("key", F.col("m").alias("tokens"), "v")
-        missed = looked.where("v IS NULL").drop("v")
-        weights = missed.withColumn("ctx", ctx).join(contexts, "ctx").select("key", F.lit(0).cast("long").alias("tokens"), (F.col("m") * F.col("v")).alias("v"))
-        return found.unionByName(weights).unionByName(evaluated(missed.select("key", "m", *names[1:]), n - 1))
-
-    all_ = tokens(rows.dropDuplicates(["key"]), order).withColumn("m", F.lit(1).cast("long"))
-    scores = evaluated(all_, order).groupBy("key").agg(F.sum("tokens").alias("n"), F.sum("v").alias("logprob"))
-    found = each.join(scores, "key").select(F.explode(F.array_repeat("id", F.col("rows").cast("int"))).alias("doc_id"), F.col("n").alias("n_tokens"), "logprob")
-    return per_token(found)
+    places, (_, d2, d3) = model.places, model.d
+    book = places.book
+    rows = id_and_text(docs, id_col, text_col).where("text IS NOT NULL")
+
+    def ask(batches):
+        """Cells: of a group of documents (told by task and number), the trigrams that belong to one part, by document."""
+        task, number = TaskContext.get().partitionId(), 0
+        for ids, code, rare, each in groups_of(batches, book.code, GROUP_BYTES):
+            columns = trigrams(book, code, each)
+            doc, first = np.repeat(np.arange(len(ids)), each), True
+            for part, at in by_part(places.of(columns[1], columns[0], rare)):
+                listed, (s2, s1, s3) = book.sealed([c[at] for c in columns], rare)
+                of = np.flatnonzero(changes(doc[at]))
+                row = {"part": part, "batch": task << 32 | number, "docs": len(ids), "ids": squeezed(ids, np.int64) if first else None, "rare": listed, "s2": put(s2), "s1": put(s1), "s3": put(s3)}
+                row |= {"doc": put(np.diff(doc[at][of], prepend=0)), "n": put(np.diff(np.append(of, len(at))))}
+                yield as_batch({c: [v] for c, v in row.items()}, ASKED)
+                first = False
+            number += 1
+
+    def look(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        """The values of the cells' trigrams, in their order, by the part's block."""
+        block = Block(blocks.to_pylist()[0], places, d2, d3) if len(blocks) else None
+        out = []
+        for r in asked.to_pylist():
+            hashes = np.cumsum(got(r["rare"]))
+            s2, s1, s3 = (got(r[c]).astype(np.uint32) for c in ("s2", "s1", "s3"))
+            value, missed = np.zeros(len(s2)), np.ones(len(s2), bool)
+            if block:
+                at = np.minimum(np.searchsorted(block.rare, hashes), max(0, len(block.rare) - 1))
+                there = block.rare[at] == hashes if len(block.rare) else np.zeros(len(hashes), bool)
+                codes = np.where(there, book.n + at, (1 << 32) - 1).astype(np.uint32)
+                value, missed = block.find(*(book.renumbered(c, codes) for c in (s2, s1, s3)))
+            doc = np.repeat(np.cumsum(got(r["doc"])), got(r["n"]).astype(np.int64))
+            values, where = np.unique(value, return_inverse=True)
+            row = {c: r[c] for c in ("batch", "docs", "ids", "doc", "n")} | {"values": squeezed(values, np.float64), "at": put(where), "missed": int(missed.sum())}
+            own = np.concatenate([book.words, hashes]) if missed.any() else hashes
+            row |= {"miss": put(doc[missed]), "m2": put(own[s2[missed]]), "m3": put(own[s3[missed]])}
+            out.append(as_batch({c: [v] for c, v in row.items()}, TOLD))
+        return pa.Table.from_batches(out, TOLD)
+
+    asked = map_batches(rows, ask, spark_schema(ASKED))
+    told = stored(asked.groupBy("part").cogroup(model.blocks.drop("n2", "n3").groupBy("part")).applyInArrow(look, spark_schema(TOLD)), "told")
+    cleaned(docs.sparkSession)
+    answer = pa.schema([("batch", pa.int64()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("logprob", pa.float64())])
+
+    def finish(batches):
+        for group in each_of(batches, "batch"):
+            ids, n, total = None, 0, 0.0
+            for r in group.to_pylist():
+                docs_, doc, each = r["docs"], np.cumsum(got(r["doc"])).astype(np.int64), got(r["n"]).astype(np.int64)
+                ids = loosened(r["ids"], docs_, np.int64) if r["ids"] is not None else ids
+                at = got(r["at"]).astype(np.int64)
+                values = loosened(r["values"], int(at.max()) + 1, np.float64)
+                n = n + np.bincount(doc, each, docs_)
+                total = total + np.bincount(np.repeat(doc, each), values[at], docs_)
+            yield as_batch({"batch": np.full(len(ids), group.column("batch")[0].as_py()), "doc": np.arange(len(ids)), "doc_id": ids, "n_tokens": n.astype(np.int64), "logprob": total}, answer)
+
+    done = map_batches(told.drop("missed", "miss", "m2", "m3").repartition("batch").sortWithinPartitions("batch"), finish, spark_schema(answer))
+    if told.agg(F.sum("missed").alias("n")).first()["n"]:
+        lost = pa.schema([("batch", pa.int64()), ("doc", pa.int64()), ("s2", pa.int64()), ("s3", pa.int64())])
+
+        def unseen(batches):
+            for batch in batches:
+                for r in batch.to_pylist():
+                    doc = got(r["miss"]).view(np.int64)
+                    yield as_batch({"batch": np.full(len(doc), r["batch"]), "doc": doc, "s2": got(r["m2"]).view(np.int64), "s3": got(r["m3"]).view(np.int64)}, lost)
+
+        (grams1, contexts1), (_, contexts2) = tables[0], tables[1]
+        alpha = next((r["v"] for r in contexts1.collect()), 0.0)
+        rest = map_batches(told.where("missed > 0").select("batch", "miss", "m2", "m3"), unseen, spark_schema(lost))
+        rest = rest.withColumns({"ctx": F.xxhash64("s2"), "g": F.xxhash64("s3")}).join(contexts2.select("ctx", F.col("v").alias("weight")), "ctx", "left").join(grams1, "g", "left")
+        value = F.coalesce("weight", F.lit(0.0)) + F.coalesce("v", F.lit(alpha - float(np.log(kinds))))
+        done = done.join(rest.groupBy("batch", "doc").agg(F.sum(value).alias("more")), ["batch", "doc"], "left").withColumn("logprob", F.col("logprob") + F.coalesce("more", F.lit(0.0)))
+    return per_token(done.select("doc_id", "n_tokens", "logprob"))
 
 
 def per_token(found: DataFrame) -> DataFrame:

@@ -156,3 +156,21 @@ def test_query_scores_by_a_model_that_backs_off(spark, tmp_path, monkeypatch, te
     new = ["zzz q", "a b zzz", "b a c b", texts[0][:40] + " zzz"]
     found = {r.doc_id: r.logprob for r in score(docs(spark, list(enumerate(new))), made[0]).collect()}
     assert found == pytest.approx({i: katz.log(t) for i, t in enumerate(new)}, abs=1e-9)
+
+
+def test_packed_tables_with_few_common_words_and_spread_contexts(spark, monkeypatch, texts):
+    """Rare words by their hashes, words that fill several parts, many small groups: the same values, from a stored row for each part and not for each n-gram."""
+    for name, value in (("BOOK", 3), ("ROWS_PER_PARTITION", 60), ("GROUP_BYTES", 700)):
+        monkeypatch.setattr(L, name, value)
+    katz = Katz(texts)
+    model = L.train(docs(spark, list(enumerate(texts))))
+    assert model.places.spread.max() > 1 and model.places.book.n == 4
+    blocks = model.blocks.count()
+    assert 1 < blocks <= model.places.parts
+    tables = model[1]
+    assert [g.count() for g, _ in tables] == [sum(map(len, katz.after[n].values())) for n in (1, 2, 3)]
+    assert [c.count() for _, c in tables] == [len(katz.after[n]) for n in (1, 2, 3)]
+    assert tables[2][1].agg(F.sum("v")).first()[0] == pytest.approx(sum(math.log(katz.seen(h)[1]) for h in katz.after[3]))
+    new = [*texts, "zzz q", "a b zzz", "w1 w2 日本 w3", "b a c b", "w1 zzz w1 w2 w1", ""]
+    got = {r.doc_id: r.logprob for r in L.score(docs(spark, list(enumerate(new))), model).collect()}
+    assert got == pytest.approx({i: katz.log(t) for i, t in enumerate(new)}, abs=1e-9)
