@@ -27,6 +27,7 @@ test compares them) without storing the tables. Each token is sent once to the t
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 import numpy as np
@@ -484,9 +485,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
 
 
 def cleaned(spark) -> None:
-    """Lets Spark delete the shuffle files of what nothing refers to any more, which it does when its driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of what nothing refers to any more, which it does in the background when its driver collects garbage; Python's own references go first, a moment later."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -537,6 +541,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return pa.Table.from_batches(out, TOLD)
 
     asked = map_batches(rows, ask, spark_schema(ASKED))
+    cleaned(docs.sparkSession)
     told = stored(asked.groupBy("part").cogroup(model.blocks.drop("n2", "n3").groupBy("part")).applyInArrow(look, spark_schema(TOLD)), "told")
     cleaned(docs.sparkSession)
     answer = pa.schema([("batch", pa.int64()), ("doc", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("logprob", pa.float64())])
