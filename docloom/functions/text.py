@@ -29,7 +29,8 @@ def section_number(t: Column) -> Column:
 
 def clean(t: Column) -> Column:
     """Line ends become blanks, runs of blanks (U+0020 alone) one; stripped."""
-    return strip(F.regexp_replace(F.regexp_replace(t, "[\r\n]", " "), " {2,}", " "))
+    cleaned = strip(F.regexp_replace(F.regexp_replace(t, "[\r\n]", " "), " {2,}", " "))
+    return F.when(t.rlike(r"(?U)\s"), cleaned).otherwise(t)  # the cheap test first: most cells have no white space
 
 
 def cell_text(v: Column) -> Column:

@@ -112,8 +112,8 @@ def section_chunks(blocks: DataFrame, key: str = "doc_id", order: str = "ord", s
 
 def row_class(cells: Column, first: Column, width: Column, strict: bool = True) -> Column:
     """header, section or data. strict: a section row needs some text, all of it short; otherwise an empty row is one too."""
-    filled = F.filter(cells, lambda c: T.strip(c) != "")
-    section = (F.size(filled) <= 2) & (width >= 4)
+    filled = F.filter(cells, lambda c: c.rlike(r"(?U)\S"))
+    section = (width >= 4) & (F.size(filled) <= 2)
     if strict:
         section = section & (F.size(filled) > 0) & F.forall(filled, lambda c: F.length(c) < 200)
     return F.when(first, "header").when(section, "section").otherwise("data")
@@ -142,7 +142,12 @@ def merge_split_row(a: Column, b: Column) -> Column:
 
 
 def same_row(a: Column, b: Column) -> Column:
-    return F.coalesce(F.transform(a, T.strip) == F.transform(b, T.strip), F.lit(False))
+    return F.coalesce((a == b) | (F.transform(a, T.strip) == F.transform(b, T.strip)), F.lit(False))
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is reckoned once: in a fold, an expression is reckoned again wherever it is named."""
+    return F.transform(F.array(value), body)[0]
 
 
 def stitch_sessions(elements: DataFrame, key: str = "doc_id", order: str = "seq", kind: str = "kind", width: str = "ncols") -> DataFrame:
@@ -153,17 +158,23 @@ def stitch_sessions(elements: DataFrame, key: str = "doc_id", order: str = "seq"
     return elements.withColumn("session", F.sum(fresh.cast("int")).over(_upto([key], order))).where(F.col(kind) == "table")
 
 
-def stitch(tables: DataFrame, keys: list[str], order: str = "seq", rows: str = "rows") -> DataFrame:
-    """rows of each session's tables as one: a repeated header goes, a row split by the page end is put together."""
-    parts = tables.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(rows).alias("r")))).alias("p"))
+def stitched(parts: Column) -> Column:
+    """Rows of a session's tables as one: a repeated header goes, a row split by the page end is put together. parts: array of structs whose r is a table's rows, in their order."""
 
     def step(done: Column, part: Column) -> Column:
         more = part["r"]
         more = F.when((F.size(more) > 1) & same_row(done[0], more[0]), F.slice(more, F.lit(2), F.size(more))).otherwise(more)
-        both = merge_split_row(F.element_at(done, -1), more[0])
-        return F.when(both.isNotNull(), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both), F.slice(more, F.lit(2), F.size(more)))).otherwise(F.concat(done, more))
+        return _let(more, lambda m: _let(merge_split_row(F.element_at(done, -1), m[0]), lambda both: (
+            F.when(both.isNotNull(), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both), F.slice(m, F.lit(2), F.size(m)))).otherwise(F.concat(done, m))
+        )))
 
-    return parts.select(*keys, F.aggregate(F.slice("p", F.lit(2), F.size("p")), F.col("p")[0]["r"], step).alias("rows"))
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), parts[0]["r"], step)
+
+
+def stitch(tables: DataFrame, keys: list[str], order: str = "seq", rows: str = "rows") -> DataFrame:
+    """rows of each session's tables as one."""
+    parts = tables.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(rows).alias("r")))).alias("p"))
+    return parts.select(*keys, stitched(F.col("p")).alias("rows"))
 
 
 def scan_pages(pages: DataFrame, images: DataFrame, keys: list[str], threshold: int = 50) -> DataFrame:

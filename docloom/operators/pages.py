@@ -5,18 +5,40 @@ Elements: doc_id, page (from 1), kind (text, table or scan), top, seq (order of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import blocks as B
 
 
-def in_order(elements: DataFrame) -> DataFrame:
-    """Texts and non-empty tables with pos: by page and place on it, a text before a table at the same height."""
-    kept = elements.where("kind = 'text' OR (kind = 'table' AND size(raw_rows) > 0)")
-    place = Window.partitionBy("doc_id").orderBy("page", "top", F.when(F.col("kind") == "text", 0).otherwise(1), "seq")
-    return kept.withColumn("pos", F.row_number().over(place)).withColumn("ncols", F.when(F.col("kind") == "table", F.size(F.col("raw_rows")[0])))
+def placed(elements: DataFrame) -> DataFrame:
+    """Texts, non-empty tables and scans with pos, session (of tables), ord (of the block they belong to), closed, pages and section_path.
+
+    One shuffle and one sort by document: texts and tables by page and place on it, a text before a table at the same height, then scans by page. The rest
+    counts for the number of pages alone. Everything runs along that order, so nothing is joined and no document is held as a whole.
+    """
+    table = (F.col("kind") == "table") & (F.size("raw_rows") > 0)
+    part = F.when((F.col("kind") == "text") | table, 0).when(F.col("kind") == "scan", 1).otherwise(2)
+    e = elements.withColumns({
+        "part": part, "late": F.when(F.col("kind") == "text", 0).otherwise(1), "ncols": F.when(table, F.size(F.col("raw_rows")[0])), "sec": F.when(F.col("kind") == "text", T.section_number(F.col("content"))),
+    })
+    place = Window.partitionBy("doc_id").orderBy("part", "page", "top", "late", "seq")
+    upto, whole = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = e.withColumns({
+        "pos": F.row_number().over(place), "before": F.lag(F.struct("part", "kind", "ncols", "page")).over(place), "closed": F.lead(F.when(F.col("part") == 0, F.col("page"))).over(place),
+        "pages": F.max("page").over(whole), "section_path": F.last("sec", ignorenulls=True).over(upto),
+    })
+    goes_on = F.coalesce((F.col("before.kind") == "table") & (F.col("before.ncols") == F.col("ncols")), F.lit(False))
+    fresh = (F.col("part") == 0) & (F.col("kind") == "table") & ~goes_on
+    same_scan = F.coalesce(F.col("before.part") == 1, F.lit(False)) & F.col("before.page").eqNullSafe(F.col("page"))
+    begins = F.when(F.col("part") == 0, (F.col("kind") == "text") | fresh).otherwise(~same_scan)
+    numbered = near.withColumns({"session": F.sum(fresh.cast("int")).over(upto), "ord": (F.sum(begins.cast("int")).over(upto) - 1).cast("int")})
+    return numbered.where("part < 2").drop("part", "late", "before", "sec")
+
+
+def scan_id(page: Column) -> Column:
+    return F.format_string("%s_scan_%03d", F.col("doc_id").cast("string"), page)
 
 
 def page_blocks(elements: DataFrame) -> DataFrame:
@@ -25,31 +47,26 @@ def page_blocks(elements: DataFrame) -> DataFrame:
     Tables that follow one another without a text between them and are as wide are one. Texts and tables count together (``_b``), tables also for
     themselves (``_tbl_``). A table ends on the page where the next text or other table begins, the last one on the last page. Scans come last, by page.
     """
-    e = in_order(elements)
-    last_page = elements.groupBy("doc_id").agg(F.max("page").alias("pages"))
-    after = e.withColumn("closed", F.lead("page").over(Window.partitionBy("doc_id").orderBy("pos")))
-    parts = B.stitch_sessions(after, order="pos").withColumn("raw_rows", F.transform("raw_rows", lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit("")))))
-    joined = B.stitch(parts, ["doc_id", "session"], "pos", "raw_rows")
-    spans = parts.groupBy("doc_id", "session").agg(F.min("pos").alias("pos"), F.min("page").alias("page"), F.max_by("closed", "pos").alias("closed"), F.first("ncols").alias("ncols"))
-    spans = spans.join(last_page, "doc_id").withColumn("page_end", F.coalesce("closed", "pages"))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos"))
-    typed = F.transform("rows", lambda r, i: F.struct(B.row_class(r, i == 0, F.col("ncols"), strict=False).alias("row_type"), F.transform(r, T.clean).alias("cells")))
-    tables = spans.join(joined, ["doc_id", "session"]).select(
-        "doc_id", "pos", F.lit("table").alias("type"), "page", "page_end", F.lit(None).cast("string").alias("content"), F.col("ncols").cast("int").alias("col_count"), typed.alias("rows"), number.alias("t")
+    part = F.struct(
+        F.col("pos").alias("o"), F.transform("raw_rows", lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit("")))).alias("r"),
+        "kind", "page", "content", "section_path", "session", "ncols", "closed", "pages",
     )
-    texts = e.where("kind = 'text'").select("doc_id", "pos", F.lit("text").alias("type"), "page", "content").withColumn("sec", T.section_number(F.col("content")))
-    both = texts.unionByName(tables, allowMissingColumns=True)
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    both = B.fill_section(both, ["doc_id"], "pos", "sec", "section_path").withColumn("n", F.row_number().over(by))
-    name = F.when(F.col("type") == "table", F.format_string("%s_tbl_%03d", F.col("doc_id").cast("string"), "t")).otherwise(F.format_string("%s_b%03d", F.col("doc_id").cast("string"), "n"))
-    counts = both.groupBy("doc_id").agg(F.count("*").alias("before"))
-    scans = elements.where("kind = 'scan'").select("doc_id", "page").distinct().join(counts, "doc_id", "left")
-    scans = scans.select(
-        "doc_id", (F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) - 1).cast("int").alias("ord"),
-        F.format_string("%s_scan_%03d", F.col("doc_id").cast("string"), "page").alias("block_id"), F.lit("image").alias("type"), "page", F.lit("pending").alias("ocr_status"),
+    blocks = placed(elements).groupBy("doc_id", "ord").agg(F.sort_array(F.collect_list(part)).alias("p"))
+    one, key = F.col("p")[0], F.col("doc_id").cast("string")
+    kind, width = one["kind"], one["ncols"]
+    typed = F.transform(B.stitched(F.col("p")), lambda r, i: F.struct(B.row_class(r, i == 0, width, strict=False).alias("row_type"), F.transform(r, T.clean).alias("cells")))
+    name = F.when(kind == "table", F.format_string("%s_tbl_%03d", key, one["session"])).when(kind == "text", F.format_string("%s_b%03d", key, F.col("ord") + 1)).otherwise(scan_id(one["page"]))
+    return blocks.select(
+        "doc_id", "ord", name.alias("block_id"), F.when(kind == "scan", "image").otherwise(kind).alias("type"), F.array_min(F.col("p")["page"]).alias("page"),
+        F.when(kind == "table", F.coalesce(F.element_at("p", -1)["closed"], one["pages"])).alias("page_end"), F.when(kind == "text", one["content"]).alias("content"),
+        F.when(kind != "scan", one["section_path"]).alias("section_path"), F.when(kind == "table", width).alias("col_count"), F.when(kind == "table", typed).alias("rows"), F.when(kind == "scan", "pending").alias("ocr_status"),
     )
-    rest = both.select("doc_id", (F.col("n") - 1).cast("int").alias("ord"), name.alias("block_id"), "type", "page", "page_end", "content", "section_path", "col_count", "rows")
-    return rest.unionByName(scans, allowMissingColumns=True)
+
+
+def scan_blocks(elements: DataFrame) -> DataFrame:
+    """doc_id, ord, block_id, page of page_blocks' scans, without putting tables together."""
+    scans = placed(elements).where("kind = 'scan'")
+    return scans.groupBy("doc_id", "ord").agg(F.first("page").alias("page")).select("doc_id", "ord", scan_id(F.col("page")).alias("block_id"), "page")
 
 
 def outside(words: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
