@@ -54,7 +54,7 @@ def page_blocks(spark, sf_dir):
 
 @query(f"WITH pb AS (WITH {_PAGE_BLOCKS}) SELECT doc_id, ord, block_id, page FROM pb WHERE type = 'image'")
 def scan_blocks(spark, sf_dir):
-    return P.page_blocks(page_elements(spark, sf_dir)).where("type = 'image'").select("doc_id", "ord", "block_id", "page")
+    return P.scan_blocks(page_elements(spark, sf_dir))
 
 
 @query("""WITH w AS (SELECT l_orderkey AS page, l_linenumber AS n, l_partkey, l_quantity AS x0, l_quantity + 2 AS x1, l_linenumber * 10.0 AS top, l_linenumber * 10.0 + 8 AS bottom FROM lineitem),
