@@ -63,8 +63,14 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], keep_old: li
     )
 
 
+#: Rows that a task of without_match sorts, about. Spark sizes tasks by bytes shuffled, and bare keys are so few of them that a task would get ever more rows.
+ROWS_PER_TASK = 1 << 20
+
+
 def without_match(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(others.select(*keys), keys, "left_anti")
+    """Rows without one of others by keys. Both are counted first, so that the number of tasks, not their size, follows the tables."""
+    n = -(-(rows.count() + others.count()) // ROWS_PER_TASK) or 1
+    return rows.repartition(n, *keys).join(others.select(*keys).repartition(n, *keys), keys, "left_anti")
 
 
 def or_fallback(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:

@@ -140,8 +140,8 @@ def pending_anti_join(spark, sf_dir):
 
 @query("SELECT o_orderkey AS k, 'order without lines' AS problem FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'line without order' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
 def fk_orphans(spark, sf_dir):
-    o, i = A.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), A.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
-    return L.without_match(o, i, ["k"]).withColumn("problem", F.lit("order without lines")).unionByName(L.without_match(i, o, ["k"]).withColumn("problem", F.lit("line without order")))
+    o, i = A.load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), A.load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"))
+    return L.without_match(o, i, ["k"]).withColumn("problem", F.lit("order without lines")).unionByName(L.without_match(i, o, ["k"]).distinct().withColumn("problem", F.lit("line without order")))
 
 
 # text and scalar functions

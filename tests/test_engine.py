@@ -319,6 +319,17 @@ def test_next_free_beyond_a_span(spark, monkeypatch):
     assert [r.n for r in ledger.next_free(ids.limit(0), 9).orderBy("n").collect()] == list(range(1, 10))
 
 
+def test_without_match_by_rows(spark, monkeypatch):
+    """The tasks' number follows the rows, whatever the bytes; repeated and null keys stay."""
+    monkeypatch.setattr(ledger, "ROWS_PER_TASK", 50, raising=False)
+    rows = spark.createDataFrame([(i % 300 if i % 7 else None, i) for i in range(600)], "k int, i int")
+    others = spark.createDataFrame([(i,) for i in range(0, 300, 2)] * 2 + [(None,)], "k int")
+    found = ledger.without_match(rows, others, ["k"])
+    assert {r.i for r in found.collect()} == {i for i in range(600) if i % 7 == 0 or i % 300 % 2}
+    plan = ledger.without_match(rows, others, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 19)") == 2
+
+
 def test_updates_insert_nothing(spark):
     current = spark.createDataFrame([("t", "a", "new", 1), (None, "b", "new", 2), ("t", "c", "new", 3)], "tender_id string, doc_id string, parse_status string, n int")
     failed = spark.createDataFrame([("t", "a"), (None, "b"), ("t", "z")], "tender_id string, doc_id string")
