@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,43 +54,45 @@ def _strings() -> Column:
 
 
 def pack_lines(t: Column, limit: int = MAX_CHUNK) -> Column:
-    """Greedy chunks of whole lines: a line that would pass the limit begins the next chunk; one longer than it stays whole.
+    """Greedy chunks of whole lines: a line that would pass the limit begins the next chunk; one longer than it stays whole."""
+    return _packed(t, limit)
 
-    A text is one pass over its lines in Arrow batches: folding arrays in the JVM would copy what is packed at every line.
+
+def pack_overlapping(t: Column, limit: int, overlap: int = OVERLAP_CHARS) -> Column:
+    """Chunks of whole lines of at most limit characters, line ends counted, each begun with the last lines of the one before, of overlap characters at most."""
+    return _packed(t, limit, overlap)
+
+
+def _packed(t: Column, limit: int, overlap: int | None = None) -> Column:
+    """One pass over a text's lines that keeps only where chunks begin (s) and how many lines they have (k); the lines are joined once these are known.
+
+    Nothing is held but the text at hand, whatever the size of a batch: no rows go to Python.
     """
 
-    @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else packed_lines(x, limit))
+    def kept(cur: Column) -> Column:
+        """How many of the last lines the next chunk begins with, and their characters."""
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+        more = lambda a, x: F.when(a["on"] & (a["n"] + F.length(x) <= overlap), F.struct((a["k"] + 1).alias("k"), (a["n"] + F.length(x)).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["k"].alias("k"), a["n"].alias("n"), F.lit(False).alias("on")))
+        return F.aggregate(F.reverse(cur), start, more)
 
-    return packed(t)
+    def state(cuts: Column, s: Column, n: Column, i: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), s.alias("s"), n.alias("n"), i.alias("i"))
 
+    def cut(a: Column, end: Column) -> Column:
+        return F.concat(a["cuts"], F.array(F.struct(a["s"].alias("s"), (end - a["s"]).alias("k"))))
 
-def pack_overlapping(t: Column, limit: int, overlap: int = OVERLAP_CHARS) -> Column:
-    """Chunks of whole lines of at most limit characters, line ends counted, each begun with the last lines of the one before, of overlap characters at most."""
+    def chunks(lines: Column) -> Column:
+        def step(a: Column, line: Column) -> Column:
+            begun = lambda k, n: state(cut(a, a["i"]), a["i"] - k, n + F.length(line) + 1, a["i"] + 1)
+            full = (a["i"] > a["s"]) & (a["n"] + F.length(line) + int(overlap is not None) > limit)
+            fresh = begun(F.lit(0), F.lit(0)) if overlap is None else _let(kept(F.slice(lines, a["s"] + 1, a["i"] - a["s"])), lambda x: begun(x["k"], x["n"]))
+            return F.when(full, fresh).otherwise(state(a["cuts"], a["s"], a["n"] + F.length(line) + 1, a["i"] + 1))
+
+        zero = state(F.array().cast("array<struct<s:int,k:int>>"), F.lit(0), F.lit(0), F.lit(0))
+        cuts = F.aggregate(lines, zero, step, lambda a: cut(a, a["i"]))
+        return F.transform(cuts, lambda c: F.array_join(F.slice(lines, c["s"] + 1, c["k"]), "\n"))
 
-    @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else packed_lines(x, limit, overlap))
-
-    return packed(t)
-
-
-def packed_lines(text: str, limit: int, overlap: int | None = None) -> list[str]:
-    done: list[str] = []
-    cur: list[str] = []
-    n, end = 0, int(overlap is not None)
-    for line in text.split("\n"):
-        if cur and n + len(line) + end > limit:
-            done.append("\n".join(cur))
-            kept, n = len(cur), 0
-            while overlap is not None and kept and n + len(cur[kept - 1]) <= overlap:
-                kept -= 1
-                n += len(cur[kept])
-            cur = cur[kept:]
-        cur.append(line)
-        n += len(line) + 1
-    return [*done, "\n".join(cur)]
+    return _let(F.split(t, "\n", -1), chunks)
 
 
 def section_chunks(blocks: DataFrame, key: str = "doc_id", order: str = "ord", section: str = "section_path", text: str = "text", block: str = "block_id", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:

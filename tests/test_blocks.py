@@ -53,6 +53,15 @@ def test_packers_follow_the_model(spark, values):
     assert all("\n".join(p) == v for p, v in zip(column(spark, values, lambda c: B.pack_lines(c, 12)), values))
 
 
+@pytest.mark.parametrize(("pack", "sizes"), [(B.pack_lines, (12,)), (B.pack_overlapping, (14, 5))])
+def test_packers_need_no_python_workers(spark, pack, sizes):
+    """Batches of texts in Python took memory by their rows; texts are packed one at a time where they are read."""
+    text = "ж" * 9 + "\n" + "😀" * 4 + "\n\n" + "e" * 3
+    df = spark.createDataFrame([(0, None), (1, text)], "i int, v string").select("i", pack(F.col("v"), *sizes).alias("p"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.i: r.p for r in df.collect()} == {0: None, 1: packed(text, *sizes)}
+
+
 rows = st.lists(st.tuples(st.lists(st.sampled_from(["", "a", "b"]), min_size=1, max_size=3), st.lists(st.sampled_from(["", "a", "b"]), min_size=1, max_size=3)), min_size=30, max_size=40)
 
 
