@@ -64,35 +64,39 @@ def pack_overlapping(t: Column, limit: int, overlap: int = OVERLAP_CHARS) -> Col
 
 
 def _packed(t: Column, limit: int, overlap: int | None = None) -> Column:
-    """One pass over a text's lines that keeps only where chunks begin (s) and how many lines they have (k); the lines are joined once these are known.
+    """One pass over a text's lines that keeps only where chunks begin and how long they are, in bytes (s, k); they are cut out of the text once these are known.
 
     Nothing is held but the text at hand, whatever the size of a batch: no rows go to Python.
     """
+    length, size = F.length, F.octet_length
 
-    def kept(cur: Column) -> Column:
-        """How many of the last lines the next chunk begins with, and their characters."""
-        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("n"), F.lit(True).alias("on"))
-        more = lambda a, x: F.when(a["on"] & (a["n"] + F.length(x) <= overlap), F.struct((a["k"] + 1).alias("k"), (a["n"] + F.length(x)).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(a["k"].alias("k"), a["n"].alias("n"), F.lit(False).alias("on")))
-        return F.aggregate(F.reverse(cur), start, more)
-
-    def state(cuts: Column, s: Column, n: Column, i: Column) -> Column:
-        return F.struct(cuts.alias("cuts"), s.alias("s"), n.alias("n"), i.alias("i"))
-
-    def cut(a: Column, end: Column) -> Column:
-        return F.concat(a["cuts"], F.array(F.struct(a["s"].alias("s"), (end - a["s"]).alias("k"))))
+    def record(a: Column) -> Column:
+        """Bytes, not an array: a fold copies the arrays of its state at every line."""
+        return F.concat(a["s"].cast("string"), F.lit(" "), (a["at"] - a["s"] - 1).cast("string")).cast("binary")
 
-    def chunks(lines: Column) -> Column:
-        def step(a: Column, line: Column) -> Column:
-            begun = lambda k, n: state(cut(a, a["i"]), a["i"] - k, n + F.length(line) + 1, a["i"] + 1)
-            full = (a["i"] > a["s"]) & (a["n"] + F.length(line) + int(overlap is not None) > limit)
-            fresh = begun(F.lit(0), F.lit(0)) if overlap is None else _let(kept(F.slice(lines, a["s"] + 1, a["i"] - a["s"])), lambda x: begun(x["k"], x["n"]))
-            return F.when(full, fresh).otherwise(state(a["cuts"], a["s"], a["n"] + F.length(line) + 1, a["i"] + 1))
-
-        zero = state(F.array().cast("array<struct<s:int,k:int>>"), F.lit(0), F.lit(0), F.lit(0))
-        cuts = F.aggregate(lines, zero, step, lambda a: cut(a, a["i"]))
-        return F.transform(cuts, lambda c: F.array_join(F.slice(lines, c["s"] + 1, c["k"]), "\n"))
-
-    return _let(F.split(t, "\n", -1), chunks)
+    def kept(cur: Column) -> Column:
+        """How many of the last lines the next chunk begins with, their characters and, line ends counted, bytes."""
+        made = lambda k, n, b, on: F.struct(k.alias("k"), n.alias("n"), b.alias("b"), on.alias("on"))
+        more = lambda a, x: F.when(a["on"] & (a["n"] + x["n"] <= overlap), made(a["k"] + 1, a["n"] + x["n"], a["b"] + x["b"] + 1, F.lit(True))).otherwise(made(a["k"], a["n"], a["b"], F.lit(False)))
+        return F.aggregate(F.reverse(cur), made(F.lit(0), F.lit(0), F.lit(0), F.lit(True)), more)
+
+    def step(a: Column, line: Column) -> Column:
+        one = F.array(F.struct(length(line).alias("n"), size(line).alias("b")))
+        at = a["at"] + size(line) + 1
+        state = lambda cuts, s, n, cur: F.struct(cuts.alias("cuts"), s.alias("s"), (n + length(line) + 1).alias("n"), at.alias("at"), cur.alias("cur"))
+        cuts = F.concat(a["cuts"], record(a), F.lit(b"\n"))
+        if overlap is None:
+            fresh, on = state(cuts, a["at"], F.lit(0), one), a["cur"]  # one line is enough to tell that there are some
+        else:
+            fresh = _let(kept(a["cur"]), lambda x: state(cuts, a["at"] - x["b"], x["n"], F.concat(F.slice(a["cur"], F.size(a["cur"]) - x["k"] + 1, x["k"]), one)))
+            on = F.concat(a["cur"], one)
+        full = (a["at"] > 0) & (a["n"] + length(line) + int(overlap is not None) > limit)
+        return F.when(full, fresh).otherwise(state(a["cuts"], a["s"], a["n"], on))
+
+    none = F.lit(b"").alias("cuts"), F.lit(0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("at"), F.array().cast("array<struct<n:int,b:int>>").alias("cur")
+    cuts = F.aggregate(F.split(t, "\n", -1), F.struct(*none), step, lambda a: F.split(F.concat(a["cuts"], record(a)).cast("string"), "\n", -1))
+    number = lambda c, i: F.split_part(c, F.lit(" "), F.lit(i)).cast("int")
+    return _let(t.cast("binary"), lambda whole: F.transform(cuts, lambda c: F.substring(whole, number(c, 1) + 1, number(c, 2)).cast("string")))
 
 
 def section_chunks(blocks: DataFrame, key: str = "doc_id", order: str = "ord", section: str = "section_path", text: str = "text", block: str = "block_id", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
